@@ -1 +1,37 @@
 """DuckDB SQL for the queries that SQL can express."""
+
+op8_mix_sources = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+    FROM documents
+), per_source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight,
+           2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS words
+    FROM per_source
+), levelled AS (
+    SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > cap / weight AS is_full
+    FROM weighted
+), targets AS (
+    SELECT source, source_size,
+           CASE WHEN is_full THEN cap
+                ELSE (words - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () * weight END AS target
+    FROM levelled
+), expected AS (
+    SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+           CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS copies,
+           (CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), ranked AS (
+    SELECT *, copies - floor(copies) AS part, (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) AS odds FROM expected
+), ordered AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM ranked
+)
+SELECT doc_id, size, source_size, target,
+       CAST((floor(copies) + CASE WHEN part > 0 AND before + size / 2.0::DOUBLE <= target - floor(copies) * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
+       CAST(floor(copies) + CASE WHEN part > 0 AND before + size / 2.0::DOUBLE <= target - floor(copies) * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM ordered
+"""

@@ -59,6 +59,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def word_starts(flag: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Flags of bytes that start a word, from flags of word bytes; a cut ends a word."""
+    first = flag.copy()
+    first[1:] &= ~flag[:-1]
+    cuts = cuts[cuts < len(flag)]
+    first[cuts] = flag[cuts]
+    return first
+
+
 class Hasher:
     """Hashes the words of byte blocks; holds the tables that one worker needs."""
 
@@ -78,13 +87,11 @@ class Hasher:
             self.up = powers(BASE, max(n + 1, BLOCK))
             self.down = powers(pow(BASE, -1, 1 << 64), max(n + 1, BLOCK))
         flag = self.word[data]
-        first = flag.copy()
-        first[1:] &= ~flag[:-1]
+        cuts = cuts[(cuts > 0) & (cuts < n)]
+        first = word_starts(flag, cuts)
         last = flag.copy()
         last[:-1] &= ~flag[1:]
-        cuts = cuts[(cuts > 0) & (cuts < n)]
-        first[cuts] |= flag[cuts]
-        last[cuts - 1] |= flag[cuts - 1]
+        last[cuts - 1] = flag[cuts - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.empty(n + 1, dtype=U64)
         total[0] = 0
