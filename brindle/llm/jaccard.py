@@ -445,3 +445,18 @@ def join(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("least"))
     of_class = named.select("cls", "component").join(least, "component").select("cls", "least")
     return members.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs that name their component, with all columns; one row of each doc_id.
+
+    Rows without a doc_id can't be told apart from others and stay. The doc_ids to drop are
+    broadcast up to KNOWN of them; texts are shuffled only beyond that, or to drop repeated doc_ids.
+    """
+    found = materialize(join(docs).where("doc_id IS NOT NULL"))
+    rows = docs
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
+    few = copies.limit(KNOWN + 1).count() <= KNOWN
+    return rows.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
