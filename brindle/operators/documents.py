@@ -190,7 +190,7 @@ THRESHOLD, DEFAULT_CLASS = 0.7, "internal"
 def detections(detector: Detector, text: Column) -> Column:
     """All strings that a detector finds in text."""
     found = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    return F.filter(found, lambda s: F.luhn_check(s) & F.length(s).between(13, 19)) if detector.luhn else found
+    return F.filter(found, lambda s: F.call_function("luhn_check", s) & F.length(s).between(13, 19)) if detector.luhn else found
 
 
 def classify(docs: DataFrame, detectors: list[Detector] = DETECTORS) -> DataFrame:
@@ -208,11 +208,15 @@ def classify(docs: DataFrame, detectors: list[Detector] = DETECTORS) -> DataFram
 
 def masked(docs: DataFrame, detectors: list[Detector] = DETECTORS) -> DataFrame:
     """doc_id and text with each match of a detector that asks for masking replaced, but for its last four characters."""
+
+    def hide(d: Detector, text: Column) -> Column:
+        """The text after one detector; a one-element array makes it a value that is computed once."""
+        return F.transform(F.array(text), lambda t: F.aggregate(F.array_distinct(detections(d, t)), t, lambda a, m: F.replace(a, m, mask_last_four(m))))[0]
+
     text = F.col("text")
     for d in detectors:
         if d.action in ("mask", "redact"):
-            found = F.array_distinct(detections(d, text))
-            text = F.coalesce(F.aggregate(found, text, lambda t, m: F.replace(t, m, mask_last_four(m))), text)
+            text = hide(d, text)
     return docs.select("doc_id", text.alias("text"))
 
 
