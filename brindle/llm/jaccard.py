@@ -14,8 +14,9 @@ its square. What then is in different components is compared pair by pair, by a
 sketches and then by the whole sets, so no link between components is lost.
 
 B minimises the cost of both ways over the corpus's set sizes. Frequencies are counted over all
-documents by range of hash; the most frequent shingles, HOT at most, go into a table of fixed size
-whose entries only decide the order of a prefix, so neither the bound nor collisions lose links.
+documents by range of hash, as four levels in a table of SLOTS two-bit entries. The table has one
+size for any corpus; where shingles share an entry the higher level counts. Levels only decide the
+order of a prefix, so collisions cost comparisons but lose no links.
 
 Defined cases: sets compare by 64-bit hashes of shingles, classes by 128-bit hashes of sets. A null
 or wordless text has an empty set and is alone in its component. Rows with equal doc_id and
@@ -25,6 +26,7 @@ it has none. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from itertools import combinations
 from math import comb
 
@@ -39,10 +41,11 @@ from brindle.llm.words import SPACED_LOWER, U64, Hasher, mix, rolling, rows_word
 from brindle.operators.components import components
 
 WIDTH = 5  # words of a shingle
-HOT = 4_000_000
-TABLE = 1 << 25  # bytes of the frequency table that tasks hold
-MAX_LIGHT = 24  # largest boundary tried
-SHIPPED = 1_000_000  # shingles that a task gathers before it deals them out
+SLOTS = 1 << 27  # two-bit entries of the frequency table, 32 MB, that tasks hold
+LEVELS = (2, 8, 64)  # documents from which a shingle has level 1, 2 and 3
+MAX_LIGHT = 12  # largest boundary tried
+SHIPPED = 400_000  # shingles that a task gathers before it deals them out
+ROWS = 1000  # rows of an Arrow batch here, as they hold texts or sets
 KNOWN = 2_000_000  # doc_ids up to which a list of them is broadcast
 STARS = 4  # rounds of comparing with one member at most
 SKETCH = 1024
@@ -65,9 +68,13 @@ def subset_sizes(n: int, light: int) -> list[int]:
     return sorted({c for m in range(-(-4 * n // 5), min(light, 5 * n // 4) + 1) if (c := needed(n, m)) <= min(n, m)})
 
 
-def boundary(sizes: np.ndarray, partners: float) -> int:
-    """The largest light size, by least cost; sizes: sets of each small size, partners: mean others in a list."""
-    scan = [prefix(n) * (1 + partners) if n else 0 for n in range(len(sizes))]
+def boundary(sizes: np.ndarray, shared: float) -> int:
+    """The largest light size, by least cost.
+
+    sizes: sets of each small size; shared: share of shingles that other documents have too. A
+    posting costs one, and about four more for the comparisons that a shared one brings.
+    """
+    scan = [prefix(n) * (1 + 4 * shared) if n else 0 for n in range(len(sizes))]
     costs = []
     for light in range(min(MAX_LIGHT, len(sizes) - 1) + 1):
         cost = 0.0
@@ -104,8 +111,14 @@ def token(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((shingles >> U64(32)) % U64(buckets)).astype(np.int64), shingles.astype(np.uint32)
 
 
-def slots(buckets: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return (mix((buckets.astype(U64) << U64(32)) | rest) & U64(TABLE - 1)).astype(np.int64)
+def slots(buckets: np.ndarray, rest: np.ndarray, n: int) -> np.ndarray:
+    """Entries of the frequency table: each of n buckets has a range of its own."""
+    each = SLOTS // n // 4 * 4
+    return buckets * each + (mix(rest.astype(U64) + (buckets.astype(U64) << U64(32))) % U64(each)).astype(np.int64)
+
+
+def level_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & 3
 
 
 def cut(bucket: np.ndarray, *arrays: np.ndarray):
@@ -123,11 +136,23 @@ def n_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def arrow_rows(spark, n: int):
+    """Arrow batches of at most n rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # Frequencies.
 
 
 def frequencies(docs: DataFrame, buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Frequency levels by slot, sets of each size below 64, and mean others in a shingle's list."""
+    """The frequency table, sets of each size below 64, and the share of shingles that several documents have."""
 
     def deal(batches):
         hasher = Hasher(SPACED_LOWER)
@@ -163,28 +188,30 @@ def frequencies(docs: DataFrame, buckets: int, parts: int) -> tuple[np.ndarray,
         keys.sort()
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         df = np.diff(np.append(first, len(keys)))
-        often = df > 1
-        level = np.ceil(2 * np.log2(df[often])).astype(np.int64)
-        rows = [(-1, int(sizes.sum()), sizes.tobytes()), (-2, len(keys), b""), (-3, int((df * (df - 1.0)).sum()), b"")]
-        where = keys[first[often]]
-        rows += [(i, len(x), slots(x >> U64(32), x & U64(0xFFFFFFFF)).astype("<u4").tobytes()) for i, (x,) in cut(level, where)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["level", "n", "slots"])
+        often = df >= LEVELS[0]
+        rows = [(-1, int(sizes.sum()), sizes.tobytes()), (-2, len(keys), b""), (-3, int(df[often].sum()), b"")]
+        keys, df = keys[first[often]], df[often]
+        each = SLOTS // buckets // 4 * 4
+        for bucket, (mine, n) in cut((keys >> U64(32)).astype(np.int64), keys, df):
+            level = np.zeros(each, np.uint8)
+            at = slots(np.full(len(mine), bucket), mine & U64(0xFFFFFFFF), buckets) - bucket * each
+            for i, least in enumerate(LEVELS):
+                level[at[n >= least]] = i + 1
+            four = level.reshape(-1, 4)
+            rows.append((bucket, len(mine), (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()))
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int64()), pa.array([r[2]], pa.binary())], ["bucket", "n", "bits"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, low binary").repartition(parts, "bucket")
-    counted = materialize(dealt.mapInArrow(count, "level int, n long, slots binary"))
-    totals = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    counted = materialize(dealt.mapInArrow(count, "bucket int, n long, bits binary"))
+    totals = {r["bucket"]: r["n"] for r in counted.where("bucket < -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     sizes = np.zeros(64, np.int64)
-    for r in counted.where("level = -1 AND n > 0").collect():  # 64 numbers a partition
-        sizes += np.frombuffer(bytes(r["slots"]), np.int64)
-    least, n = 1 << 30, 0
-    for level in sorted((k for k in totals if k > 0), reverse=True):
-        n += totals[level]
-        if n > HOT:
-            break
-        least = level
-    table = np.zeros(TABLE, np.uint8)
-    for r in counted.where(F.col("level") >= least).orderBy("level").toLocalIterator():  # HOT slots at most
-        table[np.frombuffer(bytes(r["slots"]), "<u4")] = min(255, r["level"])
+    for r in counted.where("bucket = -1").collect():  # 64 numbers a partition
+        sizes += np.frombuffer(bytes(r["bits"]), np.int64)
+    table = np.zeros(SLOTS // 4, np.uint8)
+    each = SLOTS // buckets // 4
+    for r in counted.where("bucket >= 0").toLocalIterator():  # SLOTS / 4 bytes in all
+        table[r["bucket"] * each : (r["bucket"] + 1) * each] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return table, sizes, totals.get(-3, 0) / max(1, totals.get(-2, 1))
 
 
@@ -198,7 +225,7 @@ PACK = 1000  # a light posting's size is that of its set plus PACK times that of
 
 def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: int) -> DataFrame:
     """LISTED rows: members (key: doc_id), postings of lists with several classes (key: token), and light links."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # TABLE bytes
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # SLOTS / 4 bytes
 
     def post(batches):
         hasher, levels = Hasher(SPACED_LOWER), shared.value
@@ -243,9 +270,11 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
                     for c in subset_sizes(n, light):
                         keys = [subset_key(shingles[list(s)]) for s in combinations(range(n), c)]
                         put(LIGHT, np.array(keys, U64), cls, np.array([[n + PACK * c, len(keys)]]))
+                        waiting += len(keys)
                 if 5 * n >= 4 * (light + 1):
                     bucket, low = token(shingles, buckets)
-                    order = np.argsort((levels[slots(bucket, low)].astype(U64) << U64(56)) | (shingles >> U64(8)))[: prefix(n)]
+                    level = level_at(levels, slots(bucket, low, buckets)).astype(U64)
+                    order = np.argsort((level << U64(56)) | (shingles >> U64(8)))[: prefix(n)]
                     put(HEAVY, shingles[order], cls, np.array([[n, len(order)]]))
                     waiting += len(order)
                 if waiting >= SHIPPED:
@@ -433,10 +462,11 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     parts = n_partitions(docs)
     buckets = 4 * parts
-    table, sizes, partners = frequencies(docs, buckets, parts)
-    found = lists(docs, table, boundary(sizes, partners), buckets, parts)
-    links = found.where(F.col("kind") == LIGHT).select(F.col("cls").alias("a"), F.col("other").alias("b"))
-    linked = components(heavy_links(docs, found, links)).select(F.col("node").alias("cls"), "component")
+    with arrow_rows(docs.sparkSession, ROWS):
+        table, sizes, shared = frequencies(docs, buckets, parts)
+        found = lists(docs, table, boundary(sizes, shared), buckets, parts)
+        links = found.where(F.col("kind") == LIGHT).select(F.col("cls").alias("a"), F.col("other").alias("b"))
+        linked = components(heavy_links(docs, found, links)).select(F.col("node").alias("cls"), "component")
     members = found.where(F.col("kind") == MEMBER).select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "cls")
     full = members.where("n_shingles > 0")
     groups = full.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(linked, "cls", "left").where("n > 1 OR component IS NOT NULL")

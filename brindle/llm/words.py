@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 2 << 20  # bytes hashed at a time
+BLOCK = 1 << 19  # bytes hashed at a time
 # Odd 64-bit multipliers.
 BASE = 0x9E3779B97F4A7C15
 STEP = 0xD6E8FEB86659FD93

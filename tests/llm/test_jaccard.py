@@ -82,7 +82,7 @@ def test_documents(spark):
 
 @pytest.mark.parametrize("light", [0, 4, 9])
 def test_any_boundary_gives_the_same(spark, monkeypatch, light):
-    monkeypatch.setattr(jaccard, "boundary", lambda sizes, partners: light)
+    monkeypatch.setattr(jaccard, "boundary", lambda sizes, shared: light)
     rows = [(i, t) for i, t in enumerate(near_copies(5, 250, range(1, 20), 2))]
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
