@@ -28,6 +28,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Known(dict):
+    """Values by key, made on first use."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Ids of texts as little-endian 16-bit integers."""
 
@@ -37,9 +48,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.id_bytes = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.pieces = Known(self.piece)
+        self.words = Known(self.word)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -48,28 +60,23 @@ class WordEncoder:
         if not plain:
             return np.frombuffer(self.whole(text), "<u2")
         known = self.pieces
-        parts = text.lower().encode("utf-8").split()
         if len(known) > CACHED:
             known.clear()
-        out = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self.piece(part.decode("utf-8"))
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u2")
+        return np.frombuffer(b"".join([known[p] for p in text.lower().encode("utf-8").split()]), "<u2")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        if not LATIN.fullmatch(piece):
-            return self.whole(piece)
+    def piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            return self.word(piece.decode())  # ASCII letters are one pre-token
+        text = piece.decode("utf-8")
+        if not LATIN.fullmatch(text):
+            return self.whole(text)
         if len(self.words) > CACHED:
             self.words.clear()
-        return b"".join([self.words.get(w) or self.word(w) for w in PRETOKEN.findall(piece)])
+        return b"".join([self.words[w] for w in PRETOKEN.findall(text)])
 
     def word(self, word: str) -> bytes:
-        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
-        ids = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u2").tobytes()
-        return ids
+        shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
