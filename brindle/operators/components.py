@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brindle.catalog import materialize
@@ -11,21 +11,25 @@ from brindle.catalog import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a, b); a component is named by its least node.
 
-    Least labels spread to neighbours and then jump to the label of their label, so the rounds grow
-    with the logarithm of a component's width. Each round is written to the shared folder, which
-    cuts lineage. Edges of one node are pre-aggregated before the shuffle.
+    Each round, nodes take the least label among their own and their neighbours'; from the second
+    round on labels also jump to the label of their label, so the rounds grow with the logarithm of a
+    component's width. Each round is written to the shared folder, which cuts lineage, and counts its
+    changes as it writes. Edges of one node are pre-aggregated before the shuffle.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        target = labels.select(F.col("node").alias("of"), F.col("component").alias("jump"))
-        new = materialize(spread.join(target, F.col("component") == F.col("of"), "left").select("node", F.least("component", "jump").alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            break
+    rounds, changed = 0, 1
+    while changed:
+        heard = both.join(labels, F.col("b") == F.col("node")).select("a", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
+        own = labels.select(F.col("node").alias("a"), "component", F.col("component").alias("old"))
+        new = heard.union(own).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        if rounds:
+            target = labels.select(F.col("node").alias("of"), F.col("component").alias("jump"))
+            new = new.join(target, F.col("component") == F.col("of"), "left").select("node", F.least("component", "jump").alias("component"), "old")
+        seen = Observation()
+        labels = materialize(new.observe(seen, F.sum(F.when(F.col("component") != F.col("old"), 1).otherwise(0)).alias("changed"))).drop("old")
+        changed = seen.get["changed"] or 0
+        rounds += 1
     lone = loops.join(labels, "node", "left_anti").distinct().select("node", F.col("node").alias("component"))
     return labels.union(lone)
