@@ -8,7 +8,7 @@ linked, and linking each to the smallest set of the subset's list gives the same
 
 Heavy sets scan inverted lists of prefixes: shingles are ordered from rare to frequent, and the
 first n - ceil(0.8 n) + 1 of them must meet a similar set's. Light sets that may have heavy partners
-are in these lists too. In a list, members are first compared with one of them (a star); members
+are in these lists too. In a list, members are first compared with the most central of them; members
 already in one component need no further comparison, so a group of near copies costs its size, not
 its square. What then is in different components is compared pair by pair, by a bound from 1024-bit
 sketches and then by the whole sets, so no link between components is lost.
@@ -41,13 +41,12 @@ from brindle.llm.words import SPACED_LOWER, U64, Hasher, mix, rolling, rows_word
 from brindle.operators.components import components
 
 WIDTH = 5  # words of a shingle
-SLOTS = 1 << 27  # two-bit entries of the frequency table, 32 MB, that tasks hold
+SLOTS = 1 << 26  # two-bit entries of the frequency table, 16 MB, that tasks hold
 LEVELS = (2, 8, 64)  # documents from which a shingle has level 1, 2 and 3
 MAX_LIGHT = 12  # largest boundary tried
 SHIPPED = 400_000  # shingles that a task gathers before it deals them out
 ROWS = 1000  # rows of an Arrow batch here, as they hold texts or sets
 KNOWN = 2_000_000  # doc_ids up to which a list of them is broadcast
-STARS = 4  # rounds of comparing with one member at most
 SKETCH = 1024
 NO_ID = -(1 << 63)
 
@@ -217,8 +216,8 @@ def frequencies(docs: DataFrame, buckets: int, parts: int) -> tuple[np.ndarray,
 
 # Lists.
 
-POSTED = "bucket int, kind int, keys binary, classes binary, sizes binary"
-LISTED = "kind int, key long, cls binary, other binary, n int"
+POSTED = "bucket int, kind int, keys binary, classes binary, sizes binary, ranks binary"
+LISTED = "kind int, key long, cls binary, other binary, n int, rank int"
 MEMBER, HEAVY, LIGHT = 0, 1, 2
 PACK = 1000  # a light posting's size is that of its set plus PACK times that of the subset
 
@@ -239,10 +238,13 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
                 bucket = (mix(low.astype(U64)) % U64(buckets)).astype(np.int64)
             cls = np.frombuffer(b"".join(classes), "V16")
             n = np.concatenate(sizes)
+            rank = np.zeros(len(low), np.int64)
             if kind != MEMBER:
+                rank = np.arange(len(low)) - np.repeat(np.cumsum(n[:, 1]) - n[:, 1], n[:, 1])
                 cls, n = np.repeat(cls, n[:, 1]), np.repeat(n[:, 0], n[:, 1])
-            rows = [(b, kind, k.tobytes(), c.tobytes(), s.astype("<i4").tobytes()) for b, (k, c, s) in cut(bucket, low, cls, n)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "classes", "sizes"])
+            rows = [(b, kind, k.tobytes(), c.tobytes(), s.astype("<i4").tobytes(), r.astype("<i4").tobytes()) for b, (k, c, s, r) in cut(bucket, low, cls, n, rank)]
+            names = [x.split()[0] for x in POSTED.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 4)], names)
 
         held = {k: ([], [], []) for k in (MEMBER, HEAVY, LIGHT)}
         seen: set[bytes] = set()  # classes that this task has posted
@@ -291,14 +293,14 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
     def gather(batches):
         held = {k: [] for k in (MEMBER, HEAVY, LIGHT)}
         for batch in batches:
-            for bucket, kind, keys, classes, sizes in zip(*(batch.column(c) for c in ("bucket", "kind", "keys", "classes", "sizes"))):
+            for bucket, kind, keys, classes, sizes, ranks in zip(*(batch.column(c) for c in ("bucket", "kind", "keys", "classes", "sizes", "ranks"))):
                 kind = kind.as_py()
                 key = np.frombuffer(keys.as_buffer(), np.uint32 if kind == HEAVY else np.int64)
                 if kind == HEAVY:
                     key = (np.int64(bucket.as_py()) << np.int64(32)) | key.astype(np.int64)
-                part = key, np.frombuffer(classes.as_buffer(), "V16"), np.frombuffer(sizes.as_buffer(), "<i4")
+                part = key, np.frombuffer(classes.as_buffer(), "V16"), np.frombuffer(sizes.as_buffer(), "<i4"), np.frombuffer(ranks.as_buffer(), "<i4")
                 if kind == MEMBER:
-                    yield listed(kind, part[0], part[1], None, part[2])
+                    yield listed(kind, part[0], part[1], None, part[2], part[3])
                 else:
                     held[kind].append(part)
         for kind in (HEAVY, LIGHT):
@@ -313,40 +315,40 @@ def subset_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=U64) + U64(len(shingles))], U64))[0])
 
 
-def listed(kind: int, key: np.ndarray, cls: np.ndarray, other: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+def listed(kind: int, key: np.ndarray, cls: np.ndarray, other: np.ndarray | None, n: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
     wide = pa.binary(16)
 
     def binary(x):
         return pa.Array.from_buffers(wide, len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
     same = binary(cls)
-    arrays = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), same, same if other is None else binary(other), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "key", "cls", "other", "n"])
+    arrays = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), same, same if other is None else binary(other), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "key", "cls", "other", "n", "rank"])
 
 
-def several(kind: int, key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def several(kind: int, key: np.ndarray, cls: np.ndarray, n: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
     """Postings of the keys that several classes have; of light keys, links to the smallest set of each."""
     order = np.argsort(key, kind="stable")
-    key, cls, n = key[order], cls[order], n[order]
+    key, cls, n, rank = key[order], cls[order], n[order], rank[order]
     twice = np.zeros(len(key), dtype=bool)
     same = key[1:] == key[:-1]
     twice[1:] |= same
     twice[:-1] |= same
-    key, cls, n = key[twice], cls[twice], n[twice]
+    key, cls, n, rank = key[twice], cls[twice], n[twice], rank[twice]
     halves = np.ascontiguousarray(cls).view("<u8").reshape(-1, 2)
     order = np.lexsort((halves[:, 1], halves[:, 0], n, key))
-    key, cls, n, halves = key[order], cls[order], n[order], halves[order]
+    key, cls, n, rank, halves = key[order], cls[order], n[order], rank[order], halves[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)
-    key, cls, n = key[new], cls[new], n[new]
+    key, cls, n, rank = key[new], cls[new], n[new], rank[new]
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     many = np.repeat(count > 1, count)
     if kind == HEAVY:
-        return listed(kind, key[many], cls[many], None, n[many])
+        return listed(kind, key[many], cls[many], None, n[many], rank[many])
     head = np.repeat(first, count)  # the smallest set that has the subset
     many &= (np.arange(len(key)) != head) & (9 * (n // PACK) >= 4 * (n % PACK + n[head] % PACK))
-    return listed(kind, key[many], cls[many], cls[head[many]], n[many])
+    return listed(kind, key[many], cls[many], cls[head[many]], n[many], rank[many])
 
 
 # Comparing.
@@ -413,49 +415,42 @@ def alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(both(near, "shingles", "xa", "xb").select("cls", "other", "xa", "xb").mapInArrow(compared, "a binary, b binary"))
 
 
-def fits(n: str, m: str):
-    return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
+def may_link(n: str, m: str, rank: str, other_rank: str):
+    """What two postings of a list must satisfy for their sets to link, if it is their first common list.
+
+    Shingles before it in either prefix are in that set alone, so their number is at most the number
+    of shingles that linked sets don't share. A pair that links passes in its first common list.
+    """
+    total = F.col(n) + F.col(m)
+    apart = total - 2 * F.ceil(4 * total / 9)
+    return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)) & (F.col(rank) + F.col(other_rank) <= apart)
 
 
 def heavy_links(docs: DataFrame, listed_rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between the classes of the inverted lists that, with links, give their components."""
-    postings = listed_rows.where(F.col("kind") == HEAVY).select("key", "cls", "n")
-    classes = postings.select("cls").distinct()
-    ids = listed_rows.where(F.col("kind") == MEMBER).join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
+    """Links between the classes of the inverted lists that, with links, give their components.
+
+    First each list's members are compared with its most central one, the class that is in most
+    lists: of near copies that is the least edited, which most others link to. Then what lies in
+    different components is compared pair by pair.
+    """
+    postings = listed_rows.where(F.col("kind") == HEAVY).select("key", "cls", "n", "rank")
+    central = materialize(postings.groupBy("cls").agg(F.count("*").alias("lists")))
+    ids = listed_rows.where(F.col("kind") == MEMBER).join(central, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
     known = whole_sets(docs, ids)
-    done = None
-    for star in range(STARS + 1):
-        if star:
-            found = components(links).select(F.col("node").alias("cls"), "component")
-            open_lists = postings.select("key", "cls", "n").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-            open_keys = open_lists.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            postings = materialize(open_lists.join(open_keys, "key", "left_semi"))
-            parts = postings.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("pairs"), F.sum("n").alias("n"))
-            cost = parts.agg(F.sum("pairs"), F.sum("n")).first()
-            if cost[0] is None:
-                break
-            last = star == STARS or cost[0] <= 8 * cost[1]
-        else:
-            postings = postings.withColumn("component", F.col("cls"))
-            last = False
-        if last:
-            a = postings.select("key", "cls", "n", "component")
-            b = postings.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-            pairs = a.join(b, "key").where((F.col("cls") < F.col("other")) & (F.col("component") != F.col("theirs")) & fits("n", "m"))
-        else:
-            heads = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(star)), "cls", "n", "component")).alias("h"))
-            heads = heads.select("key", F.col("h.cls").alias("other"), F.col("h.n").alias("m"), F.col("h.component").alias("theirs"))
-            pairs = postings.join(heads, "key").where((F.col("component") != F.col("theirs")) & fits("n", "m"))
-            pairs = pairs.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other"), F.when(F.col("cls") < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("cls") < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("m"))
-        pairs = pairs.select("cls", "other", "n", "m").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["cls", "other"], "left_anti")
-        pairs = materialize(pairs)
-        done = pairs.select("cls", "other") if done is None else done.union(pairs.select("cls", "other"))
-        links = links.union(alike(pairs, known))
-        if last:
-            break
-    return links
+    ranked = postings.join(central, "cls")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("lists", "cls", "n", "rank")).alias("h")).select("key", F.col("h.cls").alias("other"), F.col("h.n").alias("m"), F.col("h.rank").alias("other_rank"))
+    star = postings.join(heads, "key").where((F.col("cls") != F.col("other")) & may_link("n", "m", "rank", "other_rank"))
+    first = F.col("cls") < F.col("other")
+    star = star.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("m"))
+    star = materialize(star.distinct())
+    links = links.union(alike(star, known))
+    found = components(links).select(F.col("node").alias("cls"), "component")
+    placed = materialize(postings.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    a = placed.select("key", "cls", "n", "rank", "component")
+    b = placed.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("rank").alias("other_rank"), F.col("component").alias("theirs"))
+    cross = a.join(b, "key").where((F.col("cls") < F.col("other")) & (F.col("component") != F.col("theirs")) & may_link("n", "m", "rank", "other_rank"))
+    pairs = cross.select("cls", "other", "n", "m").distinct().join(star.select("cls", "other"), ["cls", "other"], "left_anti")
+    return links.union(alike(materialize(pairs), known))
 
 
 def join(docs: DataFrame) -> DataFrame:
