@@ -216,8 +216,8 @@ def frequencies(docs: DataFrame, buckets: int, parts: int) -> tuple[np.ndarray,
 
 # Lists.
 
-POSTED = "bucket int, kind int, keys binary, classes binary, sizes binary, ranks binary"
-LISTED = "kind int, key long, cls binary, other binary, n int, rank int"
+POSTED = "bucket int, kind int, keys binary, classes binary, sizes binary, ranks binary, alone binary"
+LISTED = "kind int, key long, cls binary, other binary, n int, rank int, alone int"
 MEMBER, HEAVY, LIGHT = 0, 1, 2
 PACK = 1000  # a light posting's size is that of its set plus PACK times that of the subset
 
@@ -238,13 +238,13 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
                 bucket = (mix(low.astype(U64)) % U64(buckets)).astype(np.int64)
             cls = np.frombuffer(b"".join(classes), "V16")
             n = np.concatenate(sizes)
-            rank = np.zeros(len(low), np.int64)
+            rank = alone = np.zeros(len(low), np.int64)
             if kind != MEMBER:
                 rank = np.arange(len(low)) - np.repeat(np.cumsum(n[:, 1]) - n[:, 1], n[:, 1])
-                cls, n = np.repeat(cls, n[:, 1]), np.repeat(n[:, 0], n[:, 1])
-            rows = [(b, kind, k.tobytes(), c.tobytes(), s.astype("<i4").tobytes(), r.astype("<i4").tobytes()) for b, (k, c, s, r) in cut(bucket, low, cls, n, rank)]
+                cls, alone, n = np.repeat(cls, n[:, 1]), np.repeat(n[:, 2], n[:, 1]), np.repeat(n[:, 0], n[:, 1])
+            rows = [(b, kind, k.tobytes(), c.tobytes(), *(x.astype("<i4").tobytes() for x in rest)) for b, (k, c, *rest) in cut(bucket, low, cls, n, rank, alone)]
             names = [x.split()[0] for x in POSTED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 4)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 5)], names)
 
         held = {k: ([], [], []) for k in (MEMBER, HEAVY, LIGHT)}
         seen: set[bytes] = set()  # classes that this task has posted
@@ -271,13 +271,13 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
                 if n <= light:
                     for c in subset_sizes(n, light):
                         keys = [subset_key(shingles[list(s)]) for s in combinations(range(n), c)]
-                        put(LIGHT, np.array(keys, U64), cls, np.array([[n + PACK * c, len(keys)]]))
+                        put(LIGHT, np.array(keys, U64), cls, np.array([[n + PACK * c, len(keys), 0]]))
                         waiting += len(keys)
                 if 5 * n >= 4 * (light + 1):
                     bucket, low = token(shingles, buckets)
                     level = level_at(levels, slots(bucket, low, buckets)).astype(U64)
                     order = np.argsort((level << U64(56)) | (shingles >> U64(8)))[: prefix(n)]
-                    put(HEAVY, shingles[order], cls, np.array([[n, len(order)]]))
+                    put(HEAVY, shingles[order], cls, np.array([[n, len(order), int((level == 0).sum())]]))
                     waiting += len(order)
                 if waiting >= SHIPPED:
                     for kind, (a, b, c) in held.items():
@@ -293,14 +293,14 @@ def lists(docs: DataFrame, table: np.ndarray, light: int, buckets: int, parts: i
     def gather(batches):
         held = {k: [] for k in (MEMBER, HEAVY, LIGHT)}
         for batch in batches:
-            for bucket, kind, keys, classes, sizes, ranks in zip(*(batch.column(c) for c in ("bucket", "kind", "keys", "classes", "sizes", "ranks"))):
+            for bucket, kind, keys, classes, *numbers in zip(*batch.columns):
                 kind = kind.as_py()
                 key = np.frombuffer(keys.as_buffer(), np.uint32 if kind == HEAVY else np.int64)
                 if kind == HEAVY:
                     key = (np.int64(bucket.as_py()) << np.int64(32)) | key.astype(np.int64)
-                part = key, np.frombuffer(classes.as_buffer(), "V16"), np.frombuffer(sizes.as_buffer(), "<i4"), np.frombuffer(ranks.as_buffer(), "<i4")
+                part = key, np.frombuffer(classes.as_buffer(), "V16"), *(np.frombuffer(x.as_buffer(), "<i4") for x in numbers)
                 if kind == MEMBER:
-                    yield listed(kind, part[0], part[1], None, part[2], part[3])
+                    yield listed(kind, part[0], part[1], None, *part[2:])
                 else:
                     held[kind].append(part)
         for kind in (HEAVY, LIGHT):
@@ -315,40 +315,40 @@ def subset_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=U64) + U64(len(shingles))], U64))[0])
 
 
-def listed(kind: int, key: np.ndarray, cls: np.ndarray, other: np.ndarray | None, n: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+def listed(kind: int, key: np.ndarray, cls: np.ndarray, other: np.ndarray | None, *numbers: np.ndarray) -> pa.RecordBatch:
     wide = pa.binary(16)
 
     def binary(x):
         return pa.Array.from_buffers(wide, len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
     same = binary(cls)
-    arrays = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), same, same if other is None else binary(other), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, ["kind", "key", "cls", "other", "n", "rank"])
+    arrays = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), same, same if other is None else binary(other), *(pa.array(x.astype(np.int32)) for x in numbers)]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "key", "cls", "other", "n", "rank", "alone"])
 
 
-def several(kind: int, key: np.ndarray, cls: np.ndarray, n: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+def several(kind: int, key: np.ndarray, cls: np.ndarray, n: np.ndarray, rank: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
     """Postings of the keys that several classes have; of light keys, links to the smallest set of each."""
     order = np.argsort(key, kind="stable")
-    key, cls, n, rank = key[order], cls[order], n[order], rank[order]
+    key, cls, n, rank, alone = key[order], cls[order], n[order], rank[order], alone[order]
     twice = np.zeros(len(key), dtype=bool)
     same = key[1:] == key[:-1]
     twice[1:] |= same
     twice[:-1] |= same
-    key, cls, n, rank = key[twice], cls[twice], n[twice], rank[twice]
+    key, cls, n, rank, alone = key[twice], cls[twice], n[twice], rank[twice], alone[twice]
     halves = np.ascontiguousarray(cls).view("<u8").reshape(-1, 2)
     order = np.lexsort((halves[:, 1], halves[:, 0], n, key))
-    key, cls, n, rank, halves = key[order], cls[order], n[order], rank[order], halves[order]
+    key, cls, n, rank, alone, halves = key[order], cls[order], n[order], rank[order], alone[order], halves[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)
-    key, cls, n, rank = key[new], cls[new], n[new], rank[new]
+    key, cls, n, rank, alone = key[new], cls[new], n[new], rank[new], alone[new]
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     many = np.repeat(count > 1, count)
     if kind == HEAVY:
-        return listed(kind, key[many], cls[many], None, n[many], rank[many])
+        return listed(kind, key[many], cls[many], None, n[many], rank[many], alone[many])
     head = np.repeat(first, count)  # the smallest set that has the subset
     many &= (np.arange(len(key)) != head) & (9 * (n // PACK) >= 4 * (n % PACK + n[head] % PACK))
-    return listed(kind, key[many], cls[many], cls[head[many]], n[many], rank[many])
+    return listed(kind, key[many], cls[many], cls[head[many]], n[many], rank[many], alone[many])
 
 
 # Comparing.
@@ -385,7 +385,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose sets link, as edges; a bound from sketches first, then the whole sets."""
+    """(cls, other, overlap, linked) of pairs; the overlap is exact for pairs that may link, else a bound from sketches."""
+    schema = "cls binary, other binary, overlap int, linked boolean"
 
     def bounded(batches):
         for batch in batches:
@@ -393,26 +394,42 @@ def alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
             size = batch.column("n").to_numpy().astype(np.int64) + batch.column("m").to_numpy()
             apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
             most = (size - apart) // 2  # each bit that differs is an element that only one set has
-            kept = batch.filter(pa.array(9 * most >= 4 * size))
-            yield pa.RecordBatch.from_arrays([kept.column("cls"), kept.column("other")], ["cls", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("other"), pa.array(most.astype(np.int32)), pa.array(9 * most >= 4 * size)], ["cls", "other", "overlap", "linked"])
 
     def compared(batches):
         for batch in batches:
-            ok = []
+            overlap, size = [], []
             for x, y in zip(batch.column("xa"), batch.column("xb")):
                 x, y = (np.frombuffer(z.as_buffer(), U64) for z in (x, y))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok.append(9 * int((y[at] == x).sum()) >= 4 * (len(x) + len(y)))
-            kept = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("cls"), kept.column("other")], ["a", "b"])
+                overlap.append(int((y[at] == x).sum()))
+                size.append(len(x) + len(y))
+            ok = [9 * k >= 4 * s for k, s in zip(overlap, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("other"), pa.array(overlap, pa.int32()), pa.array(ok, pa.bool_())], ["cls", "other", "overlap", "linked"])
 
     def both(df, column, a, b):
         one = known.select("cls", F.col(column).alias(a))
         two = known.select(F.col("cls").alias("other"), F.col(column).alias(b))
         return df.join(one, "cls").join(two, "other")
 
-    near = materialize(both(pairs, "sketch", "sa", "sb").select("cls", "other", "n", "m", "sa", "sb").mapInArrow(bounded, "cls binary, other binary"))
-    return materialize(both(near, "shingles", "xa", "xb").select("cls", "other", "xa", "xb").mapInArrow(compared, "a binary, b binary"))
+    near = materialize(both(pairs, "sketch", "sa", "sb").select("cls", "other", "n", "m", "sa", "sb").mapInArrow(bounded, schema))
+    sure = both(near.where("linked").select("cls", "other"), "shingles", "xa", "xb").select("cls", "other", "xa", "xb").mapInArrow(compared, schema)
+    return materialize(near.where("NOT linked").union(sure))
+
+
+def edges(judged: DataFrame) -> DataFrame:
+    return judged.where("linked").select(F.col("cls").alias("a"), F.col("other").alias("b"))
+
+
+def ruled_out(n: str, other_n: str, gap: str, overlap: str, other_alone: str):
+    """Whether a list's head shows that two members can't link.
+
+    The first was compared with the head and shares gap shingles with it at most, without linking;
+    the second shares overlap with it exactly. What both members have is in the head, at most gap, or
+    outside it, where the second has n - overlap shingles of which `alone` are in no other set.
+    """
+    most = F.col(gap) + F.col(other_n) - F.col(overlap) - F.col(other_alone)
+    return F.coalesce(9 * most < 4 * (F.col(n) + F.col(other_n)), F.lit(False))
 
 
 def may_link(n: str, m: str, rank: str, other_rank: str):
@@ -433,7 +450,7 @@ def heavy_links(docs: DataFrame, listed_rows: DataFrame, links: DataFrame) -> Da
     lists: of near copies that is the least edited, which most others link to. Then what lies in
     different components is compared pair by pair.
     """
-    postings = listed_rows.where(F.col("kind") == HEAVY).select("key", "cls", "n", "rank")
+    postings = listed_rows.where(F.col("kind") == HEAVY).select("key", "cls", "n", "rank", "alone")
     central = materialize(postings.groupBy("cls").agg(F.count("*").alias("lists")))
     ids = listed_rows.where(F.col("kind") == MEMBER).join(central, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
     known = whole_sets(docs, ids)
@@ -442,15 +459,28 @@ def heavy_links(docs: DataFrame, listed_rows: DataFrame, links: DataFrame) -> Da
     star = postings.join(heads, "key").where((F.col("cls") != F.col("other")) & may_link("n", "m", "rank", "other_rank"))
     first = F.col("cls") < F.col("other")
     star = star.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("m"))
-    star = materialize(star.distinct())
-    links = links.union(alike(star, known))
+    judged = alike(materialize(star.distinct()), known)
+    links = links.union(edges(judged))
     found = components(links).select(F.col("node").alias("cls"), "component")
-    placed = materialize(postings.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    a = placed.select("key", "cls", "n", "rank", "component")
-    b = placed.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("rank").alias("other_rank"), F.col("component").alias("theirs"))
-    cross = a.join(b, "key").where((F.col("cls") < F.col("other")) & (F.col("component") != F.col("theirs")) & may_link("n", "m", "rank", "other_rank"))
-    pairs = cross.select("cls", "other", "n", "m").distinct().join(star.select("cls", "other"), ["cls", "other"], "left_anti")
-    return links.union(alike(materialize(pairs), known))
+    sides = judged.select("cls", F.col("other").alias("head"), "overlap", "linked").union(judged.select("other", "cls", "overlap", "linked"))
+    placed = (
+        postings.join(found, "cls", "left")
+        .join(heads.select("key", F.col("other").alias("head")), "key")
+        .join(sides, ["cls", "head"], "left")
+        .select("key", "cls", "n", "rank", "alone", F.coalesce("component", "cls").alias("component"), F.when(~F.col("linked"), F.col("overlap")).alias("gap"), F.when(F.col("linked"), F.col("overlap")).alias("overlap"))
+    )
+    placed = materialize(placed)
+    a = placed
+    b = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in placed.columns if c != "key"])
+    cross = a.join(b, "key").where(
+        (F.col("cls") < F.col("other_cls"))
+        & (F.col("component") != F.col("other_component"))
+        & may_link("n", "other_n", "rank", "other_rank")
+        & ~ruled_out("n", "other_n", "gap", "other_overlap", "other_alone")
+        & ~ruled_out("other_n", "n", "other_gap", "overlap", "alone")
+    )
+    pairs = cross.select("cls", F.col("other_cls").alias("other"), "n", F.col("other_n").alias("m")).distinct().join(judged.select("cls", "other"), ["cls", "other"], "left_anti")
+    return links.union(edges(alike(materialize(pairs), known)))
 
 
 def join(docs: DataFrame) -> DataFrame:
