@@ -100,7 +100,7 @@ def graph_node_types(spark, sf_dir):
     return nodes.groupBy(G.node_type(F.col("node")).alias("type")).agg(F.count("*").alias("nodes"))
 
 
-@r.query("alias_resolve", "SELECT 'supplier:' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey < 40 THEN 'supplier:' || (s_suppkey + 3 * CAST(ceil((40 - s_suppkey) / 3.0) AS BIGINT)) ELSE 'supplier:' || s_suppkey END AS canonical FROM supplier")
+@r.query("alias_resolve", "SELECT 'supplier:' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey < 40 THEN 'supplier:' || (SELECT max(s_suppkey) + 3 FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey < 40) ELSE 'supplier:' || s_suppkey END AS canonical FROM supplier")
 def alias_resolve(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
     aliases = supplier.where("s_suppkey % 3 = 0 AND s_suppkey < 40").selectExpr("'supplier:' || s_suppkey AS alias", "'supplier:' || (s_suppkey + 3) AS canonical")
