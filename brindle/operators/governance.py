@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.catalog import materialize
 from brindle.functions.predicates import truth
 from brindle.functions.text import class_rank
 
@@ -197,16 +198,90 @@ def merkle_roots(events: DataFrame, leaf: str, fan: int = 1 << 12) -> DataFrame:
 
 
 def chain_faults(blocks: DataFrame) -> DataFrame:
-    """(height, fault) of blocks(height, hash, previous, ts): gaps, broken links and time going back."""
-    order = Window.orderBy("height")
-    before = blocks.select("height", "hash", "previous", "ts", F.lag("height").over(order).alias("h"), F.lag("hash").over(order).alias("p"), F.lag("ts").over(order).alias("t"))
+    """(height, fault) of blocks(height, hash, previous, ts): gaps, broken links and time going back.
+
+    The log is cut into ranges of heights. The block before a range's first one is the last of the range
+    before, so besides its own blocks a range needs one row only.
+    """
+    ranged = blocks.select("height", "hash", "previous", "ts").repartitionByRange("height")
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()))
+    block = F.struct("height", "ts", "hash")
+    lasts = ranged.groupBy("part").agg(F.max(block).alias("last"))
+    edges = lasts.select("part", F.lag("last").over(Window.orderBy("part")).alias("edge"))  # a row for each range
+    within = F.lag(block).over(Window.partitionBy("part").orderBy("height", "ts", "hash"))
+    before = ranged.withColumn("within", within).join(F.broadcast(edges), "part").withColumn("b", F.coalesce("within", "edge"))
     faults = F.array(
-        F.when(F.col("height") != F.col("h") + 1, F.lit("gap")),
-        F.when((F.col("height") == F.col("h") + 1) & (F.col("previous") != F.col("p")), F.lit("link")),
-        F.when(F.col("ts") < F.col("t"), F.lit("time")),
+        F.when(F.col("height") != F.col("b.height") + 1, F.lit("gap")),
+        F.when((F.col("height") == F.col("b.height") + 1) & ~F.col("previous").eqNullSafe(F.col("b.hash")), F.lit("link")),
+        F.when(F.col("ts") < F.col("b.ts"), F.lit("time")),
     )
     return before.select("height", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"))
 
 
+COVERED = ("height", "previous", "ts", "root")  # what a block's hash is of
+
+
+def block_hash(covered=COVERED) -> Column:
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in covered)), 256)
+
+
+def chain_check(blocks: DataFrame, events: DataFrame, leaf: str, covered=COVERED) -> DataFrame:
+    """(height, fault) of blocks(height, hash, previous, ts, root) and their events(block, place, leaf, …).
+
+    Besides chain_faults: hash, if a block's hash isn't that of what it covers, and root, if its root
+    isn't that of its events. Events of a block that isn't there are an orphan fault of its height.
+    """
+    blocks = materialize(blocks)
+    roots = merkle_roots(events, leaf).select(F.col("block").cast("long").alias("at"), F.col("root").alias("actual"))
+    both = blocks.withColumn("there", F.lit(True)).join(roots, F.col("height") == F.col("at"), "full")
+    faults = F.array(
+        F.when(F.col("there").isNull(), F.lit("orphan")),
+        F.when(F.col("there") & ~F.col("hash").eqNullSafe(block_hash(covered)), F.lit("hash")),
+        F.when(F.col("there") & ~F.col("root").eqNullSafe(F.coalesce("actual", F.lit(""))), F.lit("root")),
+    )
+    content = both.select(F.coalesce("height", "at").alias("height"), F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"))
+    return chain_faults(blocks).select(F.col("height").cast("long").alias("height"), "fault").union(content)
+
+
+def byte_ranges(objects: DataFrame) -> DataFrame:
+    """objects(content, range, …) with `status` and `ranges` (start, stop and content of each), as a Range header asks.
+
+    'bytes=a-b', 'a-' and a suffix '-n', several with commas; stop is the last byte, at most the object's
+    last. 206 with ranges; 200 without a header; 400 if any range is malformed, 416 if any lies outside.
+    """
+    length = F.octet_length("content").cast("long")
+    asked = F.filter(F.transform(F.split(F.substr("range", F.lit(7)), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+    def bounds(spec: Column) -> Column:
+        first, last = (F.regexp_extract(spec, "^([0-9]*)-([0-9]*)$", i).try_cast("long") for i in (1, 2))
+        suffix = spec.startswith("-")
+        well = F.rlike(spec, F.lit("^[0-9]*-[0-9]*$")) & F.when(suffix, last.isNotNull()).otherwise(first.isNotNull() & (spec.endswith("-") | last.isNotNull()))
+        start = F.when(suffix, F.greatest(length - last, F.lit(0))).otherwise(first)
+        stop = F.when(suffix | spec.endswith("-"), length - 1).otherwise(last)
+        return F.struct(well.alias("well"), start.alias("start"), stop.alias("stop"))
+
+    def cut(x: Column) -> Column:
+        stop = F.least(x["stop"], F.col("length") - 1)
+        return F.struct(x["start"].alias("start"), stop.alias("stop"), F.substr("content", (x["start"] + 1).cast("int"), (stop - x["start"] + 1).cast("int")).alias("content"))
+
+    found = objects.withColumn("length", length).withColumn("bounds", F.transform(asked, bounds))
+    bad = ~F.startswith("range", F.lit("bytes=")) | F.exists("bounds", lambda x: ~x["well"])
+    outside = F.exists("bounds", lambda x: (x["start"] > x["stop"]) | (x["start"] >= F.col("length")))
+    status = F.when(F.coalesce("range", F.lit("")) == "", 200).when(bad, 400).when(outside, 416).when(F.size("bounds") == 0, 200).otherwise(206)
+    found = found.withColumn("status", status)
+    return found.withColumn("ranges", F.when(F.col("status") == 206, F.transform("bounds", cut))).drop("length", "bounds")
+
+
+def multipart_etag(digests: Column) -> Column:
+    """The ETag of an object uploaded in parts, from the MD5 hex digests of its parts in order: MD5 of them joined, and -n."""
+    return F.concat(F.md5(F.unhex(F.array_join(digests, ""))), F.lit("-"), F.size(digests).cast("string"))
+
+
+def part_digests(content: Column, part_bytes: int) -> Column:
+    """MD5 of each part of so many bytes; an empty content is one empty part."""
+    last = F.greatest(F.ceil(F.octet_length(content) / part_bytes) - 1, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.md5(F.substr(content, i * part_bytes + 1, F.lit(part_bytes))))
+
+
 def lineage(events: DataFrame, path: str) -> DataFrame:
     return events.where(F.col("path") == path).orderBy("ts", "event_id")

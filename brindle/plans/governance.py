@@ -204,9 +204,27 @@ def bit_rot_scan(spark, sf_dir):
 
 @r.query("byte_ranges_etags", "SELECT doc_id, md5(text) AS etag, substr(text, 1, 0) || 'n' AS marker FROM documents")
 def byte_ranges_etags(spark, sf_dir):
+    """ETags of whole objects; byte_ranges reads ranges, multipart_etags has those of uploads in parts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("etag"), F.lit("n").alias("marker"))
 
 
+@r.query("byte_ranges")
+def byte_ranges(spark, sf_dir):
+    """Documents read by Range headers of each form; bytes aren't SQL, the tests cut them in Python."""
+    headers = ["bytes=0-99", "bytes=100-", "bytes=-50", "bytes=0-0, 10-19,-5", "bytes=90000-", "bytes=5-2", "bytes=x-1", ""]
+    header = F.element_at(F.array(*map(F.lit, headers)), (F.pmod("doc_id", F.lit(len(headers))) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), header.alias("range"))
+    found = V.byte_ranges(docs).select("doc_id", "range", "status", F.posexplode_outer("ranges").alias("place", "r"))
+    return found.select("doc_id", "range", "status", "place", "r.start", "r.stop", F.md5("r.content").alias("md5"))
+
+
+@r.query("multipart_etags")
+def multipart_etags(spark, sf_dir):
+    """ETags of documents uploaded in parts of 1024 bytes; the tests compare them with Python's."""
+    content = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", V.multipart_etag(V.part_digests(content, 1024)).alias("etag"))
+
+
 @r.query("lineage_by_path", "SELECT event_id, ts, event_type FROM events WHERE user_id = 8")
 def lineage_by_path(spark, sf_dir):
     return V.lineage(table(spark, sf_dir, "events").withColumn("path", F.col("user_id").cast("string")), "8").select("event_id", "ts", "event_type")
@@ -234,6 +252,27 @@ def audit_chain_gaps(spark, sf_dir):
     return V.chain_faults(blocks)
 
 
+@r.query("audit_chain_events")
+def audit_chain_events(spark, sf_dir):
+    """The chain of all events in blocks of 64, altered in known places after it was recorded; the tests check it in Python.
+
+    A block's hash leaves the block before out here, so that the log can be made without going through it in order.
+    """
+    covered = ("height", "ts", "root")
+    log = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "value", "user_id", "ts", "event_id DIV 64 AS block", "event_id % 64 AS place")
+    leaf = F.sha2(F.concat_ws("|", "event_id", "event_type", "user_id", "value"), 256)
+    recorded = log.withColumn("leaf", leaf)
+    times = log.groupBy(F.col("block").alias("height")).agg(F.max("ts").alias("ts")).withColumn("ts", F.when(F.col("height") % 41 == 20, F.expr("ts - INTERVAL 90 DAYS")).otherwise(F.col("ts")))
+    roots = V.merkle_roots(recorded, "leaf").select(F.col("block").cast("long").alias("height"), "root")
+    blocks = times.join(roots, "height").withColumn("hash", V.block_hash(covered))
+    before = blocks.select((F.col("height") + 1).alias("height"), F.col("hash").alias("previous"))
+    blocks = blocks.join(before, "height", "left")
+    blocks = blocks.where("height % 37 <> 30").withColumn("previous", F.when(F.col("height") % 29 == 11, F.lit("x")).otherwise(F.col("previous")))
+    blocks = blocks.withColumn("ts", F.when(F.col("height") % 31 == 5, F.expr("ts + INTERVAL 1 SECOND")).otherwise(F.col("ts")))
+    kept = log.withColumn("value", F.when(F.col("event_id") % 1009 == 7, F.col("value") + 1).otherwise(F.col("value"))).withColumn("leaf", leaf)
+    return V.chain_check(blocks, kept, "leaf", covered)
+
+
 @r.query("merkle_root")
 def merkle_root(spark, sf_dir):
     """Roots of a day's events; the tree isn't SQL, the tests compare it with a plain one."""
