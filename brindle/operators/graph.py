@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.catalog import materialize
@@ -62,7 +62,7 @@ def shortest_paths(edges: DataFrame, source: str, target: str, depth: int = 8, d
     spark = edges.sparkSession
     paths = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = paths.select("node")
-    for _ in range(min(depth, MAX_DEPTH) + 1):
+    for _ in range(depth + 1):
         goal = paths.where(F.col("node") == target)
         if goal.limit(1).count():
             return goal.agg(F.min("path").alias("path")).where("path IS NOT NULL")
@@ -92,18 +92,28 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("members"))
 
 
-def resolve_aliases(names: DataFrame, aliases: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """names(name) with `canonical`, following aliases(alias, canonical); NULL for a cycle or a chain beyond limit."""
-    chain = materialize(aliases.select(F.col("alias").alias("from"), F.col("canonical").alias("to")))
-    out = names.select("name", F.col("name").alias("canonical"))
-    for _ in range(limit):
-        moved = out.join(chain, F.col("canonical") == F.col("from"), "left")
-        out = materialize(moved.select("name", F.coalesce("to", "canonical").alias("canonical"), F.col("to").isNotNull().alias("moved")))
-        if not out.where("moved").limit(1).count():
-            return out.drop("moved")
-        out = out.drop("moved")
-    open_ends = out.join(chain, F.col("canonical") == F.col("from"), "left_semi").select("name", F.lit(True).alias("open"))
-    return out.join(open_ends, "name", "left").select("name", F.when(F.col("open").isNull(), F.col("canonical")).alias("canonical"))
+def resolve_aliases(names: DataFrame, aliases: DataFrame, limit: int | None = MAX_DEPTH) -> DataFrame:
+    """names(name) with `canonical`, following aliases(alias, canonical); NULL for a cycle or a chain beyond limit (None: any length).
+
+    Each round joins the steps so far with themselves, so a chain of n aliases takes log2(n) rounds.
+    What still moves after as many steps as there are aliases goes round in a cycle.
+    """
+    aliases = aliases.where("alias <> canonical")
+    chain = materialize(aliases.select(F.col("alias").alias("from"), F.col("canonical").alias("to"), F.lit(1).cast("long").alias("steps")).distinct())
+    most, made = chain.count(), 1
+    while True:
+        ahead = chain.select(F.col("from").alias("at"), F.col("to").alias("then"), F.col("steps").alias("more"))
+        both = chain.join(ahead, F.col("to") == F.col("at"), "left")
+        moved = F.col("at").isNotNull()
+        chain = materialize(both.select("from", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), moved.alias("moved")))
+        made *= 2
+        if made > most or not chain.where("moved").limit(1).count():
+            break
+        chain = chain.drop("moved")
+    ends = chain.join(aliases.select(F.col("alias").alias("open")).distinct(), F.col("to") == F.col("open"), "left")
+    late = F.col("open").isNotNull() if limit is None else F.col("open").isNotNull() | (F.col("steps") > limit)
+    ends = ends.select("from", F.when(~late, F.col("to")).alias("to"))
+    return names.join(ends, F.col("name") == F.col("from"), "left").select("name", F.when(F.col("from").isNull(), F.col("name")).otherwise(F.col("to")).alias("canonical"))
 
 
 def ontology_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -113,9 +123,10 @@ def ontology_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """
     small = rules.limit(10_001).count() <= 10_000
     checked = edges.join(F.broadcast(rules) if small else rules, "type", "left")
-    out = F.count("*").over(Window.partitionBy("type", "source"))
-    into = F.count("*").over(Window.partitionBy("type", "target"))
-    counted = checked.withColumn("n_out", out).withColumn("n_in", into)
+    counted = checked
+    for end, n in (("source", "n_out"), ("target", "n_in")):  # counted before they are joined, so a node of very many edges isn't one task
+        sums = edges.groupBy(F.col("type").alias("t"), F.col(end).alias("e")).agg(F.count("*").alias(n))
+        counted = counted.join(sums, F.col("type").eqNullSafe(F.col("t")) & F.col(end).eqNullSafe(F.col("e")), "left").drop("t", "e")
     broken = F.array(
         F.when(F.col("source_types").isNull(), F.lit("unknown_type")),
         F.when(~F.array_contains("source_types", node_type(F.col("source"))), F.lit("source_type")),

@@ -1,4 +1,8 @@
-"""Graph queries over edges derived from nations, suppliers and customers."""
+"""Graph queries over edges derived from nations and some suppliers, small enough for recursive SQL, and over whole tables.
+
+The whole_… queries take every nation, supplier, customer and order. Where walks would be recursive in SQL, the tests
+compare them with plain Python instead.
+"""
 
 from __future__ import annotations
 
@@ -182,3 +186,90 @@ def context_search(spark, sf_dir):
     hits = nation.where("n_nationkey < 12").selectExpr("'nation:' || n_nationkey AS key", "n_nationkey / 10 AS score").union(spark.createDataFrame([("region:0", 2.0)], "key string, score double"))
     found = G.with_context(hits, edges(spark, sf_dir))
     return found.select("key", F.round("score", 6).alias("score"), "match_kind")
+
+
+WHOLE = """(
+    SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'in' AS type, 0.9::DOUBLE AS confidence FROM nation
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'based_in', 0.8::DOUBLE FROM supplier
+    UNION ALL SELECT 'supplier:' || s.s_suppkey, 'supplier:' || n.s_suppkey, 'next', 0.5::DOUBLE FROM supplier s JOIN supplier n ON n.s_suppkey = s.s_suppkey + 1
+    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'based_in', 0.7::DOUBLE FROM customer
+    UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by', 0.6::DOUBLE FROM orders
+)"""
+
+
+def successors(spark, sf_dir):
+    """Each supplier and the one of the next key, where there is one."""
+    supplier = table(spark, sf_dir, "supplier")
+    following = supplier.selectExpr("s_suppkey AS n", "s_suppkey - 1 AS s")
+    return supplier.join(following, F.col("s_suppkey") == F.col("s")).selectExpr("'supplier:' || s AS source", "'supplier:' || n AS target")
+
+
+def whole_edges(spark, sf_dir):
+    nation, supplier, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer", "orders"))
+    made = nation.selectExpr("'nation:' || n_nationkey AS source", "'region:' || n_regionkey AS target", "'in' AS type", "0.9D AS confidence")
+    made = made.union(supplier.selectExpr("'supplier:' || s_suppkey", "'nation:' || s_nationkey", "'based_in'", "0.8D"))
+    made = made.union(successors(spark, sf_dir).selectExpr("source", "target", "'next'", "0.5D"))
+    made = made.union(customer.selectExpr("'customer:' || c_custkey", "'nation:' || c_nationkey", "'based_in'", "0.7D"))
+    return made.union(orders.selectExpr("'order:' || o_orderkey", "'customer:' || o_custkey", "'placed_by'", "0.6D"))
+
+
+r.query("whole_graph_components")(lambda spark, sf_dir: G.component_sizes(whole_edges(spark, sf_dir)))
+r.query("whole_graph_bfs_both")(lambda spark, sf_dir: G.reach(whole_edges(spark, sf_dir), seeds(spark, "region:1"), 3, "both"))
+r.query("whole_graph_bfs_out")(lambda spark, sf_dir: G.reach(whole_edges(spark, sf_dir), seeds(spark, "supplier:3"), 8, "out"))
+r.query("whole_graph_shortest_path")(lambda spark, sf_dir: G.shortest_paths(whole_edges(spark, sf_dir), "supplier:1", "supplier:9", 24).select(F.array_join("path", ">").alias("path")))
+
+
+@r.query(
+    "whole_graph_degrees",
+    f"SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM (SELECT source AS node, 1 AS o, 0 AS i FROM {WHOLE} UNION ALL SELECT target, 0, 1 FROM {WHOLE}) GROUP BY node",
+)
+def whole_graph_degrees(spark, sf_dir):
+    return G.degrees(whole_edges(spark, sf_dir))
+
+
+@r.query("whole_graph_node_types", f"SELECT split_part(node, ':', 1) AS type, count(*) AS nodes FROM (SELECT source AS node FROM {WHOLE} UNION SELECT target FROM {WHOLE}) GROUP BY ALL")
+def whole_graph_node_types(spark, sf_dir):
+    e = whole_edges(spark, sf_dir)
+    nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
+    return nodes.groupBy(G.node_type(F.col("node")).alias("type")).agg(F.count("*").alias("nodes"))
+
+
+@r.query("whole_alias_resolve")
+def whole_alias_resolve(spark, sf_dir):
+    """Every supplier is an alias of the next one, so a name resolves to the last of its run of keys."""
+    names = table(spark, sf_dir, "supplier").selectExpr("'supplier:' || s_suppkey AS name")
+    return G.resolve_aliases(names, successors(spark, sf_dir).selectExpr("source AS alias", "target AS canonical"), limit=None)
+
+
+@r.query(
+    "whole_ontology_check",
+    f"""
+    WITH rules(type, st, tt, mo, mi) AS (VALUES ('in', ['nation'], ['region'], 1, 4), ('based_in', ['customer'], ['nation'], 1, 100), ('placed_by', ['order'], ['customer'], 1, 20)),
+    e AS (SELECT * FROM {WHOLE}),
+    outs AS (SELECT type, source, count(*) AS o FROM e GROUP BY ALL), ins AS (SELECT type, target, count(*) AS i FROM e GROUP BY ALL),
+    counted AS (SELECT e.*, st, tt, mo, mi, o, i FROM e JOIN outs USING (type, source) JOIN ins USING (type, target) LEFT JOIN rules USING (type))
+    SELECT source, target, type, rule FROM (
+        SELECT *, unnest(list_filter([CASE WHEN st IS NULL THEN 'unknown_type' END, CASE WHEN NOT list_contains(st, split_part(source, ':', 1)) THEN 'source_type' END,
+            CASE WHEN NOT list_contains(tt, split_part(target, ':', 1)) THEN 'target_type' END, CASE WHEN o > mo THEN 'max_out' END, CASE WHEN i > mi THEN 'max_in' END], lambda x: x IS NOT NULL)) AS rule FROM counted)
+    """,
+)
+def whole_ontology_check(spark, sf_dir):
+    rows = [("in", ["nation"], ["region"], 1, 4), ("based_in", ["customer"], ["nation"], 1, 100), ("placed_by", ["order"], ["customer"], 1, 20)]
+    rules = spark.createDataFrame(rows, "type string, source_types array<string>, target_types array<string>, max_out int, max_in int")
+    return G.ontology_violations(whole_edges(spark, sf_dir), rules)
+
+
+@r.query(
+    "whole_context_search",
+    f"""
+    WITH hits AS (SELECT 'nation:' || n_nationkey AS key, n_nationkey / 10.0 AS score FROM nation UNION ALL SELECT 'region:0', 2.0),
+    ends AS (SELECT source AS key, target AS other, confidence FROM {WHOLE} UNION ALL SELECT target, source, confidence FROM {WHOLE}),
+    near AS (SELECT e.key, sum(confidence) AS context FROM ends e JOIN hits h ON e.other = h.key GROUP BY e.key)
+    SELECT key, round(coalesce(score, 0) + 0.35 * coalesce(context, 0), 6)::DOUBLE AS score, CASE WHEN score IS NULL THEN 'related' WHEN context IS NULL THEN 'direct' ELSE 'direct+context' END AS match_kind
+    FROM hits FULL JOIN near USING (key)
+    """,
+)
+def whole_context_search(spark, sf_dir):
+    hits = table(spark, sf_dir, "nation").selectExpr("'nation:' || n_nationkey AS key", "n_nationkey / 10 AS score").union(spark.createDataFrame([("region:0", 2.0)], "key string, score double"))
+    found = G.with_context(hits, whole_edges(spark, sf_dir))
+    return found.select("key", F.round("score", 6).alias("score"), "match_kind")
