@@ -3,9 +3,11 @@
 One pass over the texts finds the base matches of each kind and other strings that look like
 identifiers, each with its lexical patterns: the two words before it, and the words around it.
 Spark then scores the graph of patterns and instances: a pattern's confidence for a kind is the
-score of the kind's instances in it over all its instances (plus one), given SUPPORT seeds; an
+score of the kind's instances in it over all its instances (plus one), given SUPPORT of them; an
 instance is as sure as its patterns together (noisy or). Instances from ACCEPT on count as seeds in
-the next of ROUNDS rounds. In the end every occurrence of an accepted instance is a span.
+the next round and stay accepted; rounds go on until no instance is added. In the end every occurrence
+of an accepted instance is a span. A number is a candidate of every kind that its digit count allows,
+and of the kinds whose patterns accept an occurrence it is a span of the surest, then of the first.
 
 Defined cases: a null text is empty. Rows are told apart by an id of their own, so repeated rows
 and null doc_ids each get their spans. An instance that is itself a base match of another kind is
@@ -27,9 +29,8 @@ from pyspark.sql import functions as F
 from brindle.catalog import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT = 3  # distinct seeds that a pattern needs
+SUPPORT = 3  # distinct seeds and accepted instances that a pattern needs
 ACCEPT = 0.7
-ROUNDS = 3
 
 # Base patterns. Possessive runs match what the plain ones match, in linear time.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -100,9 +101,9 @@ def likely_spans(text: str) -> Iterator[tuple[int, int, int]]:
         dots = m[0].count(".")
         if dots == 3 and " " not in m[0]:
             yield m.start(), 1, m.end()
-        elif 12 <= n <= 19:
+        if 12 <= n <= 19:
             yield m.start(), 2, m.end()
-        elif 7 <= n < 12:
+        if 7 <= n <= 15:
             yield m.start(), 3, m.end()
 
 
@@ -160,28 +161,32 @@ def instances(docs: DataFrame) -> DataFrame:
 def accepted(seen: DataFrame) -> DataFrame:
     """(instance, rank) of the instances that the pattern graph makes sure of; seen: a row for each occurrence."""
     graph = materialize(seen.select(F.explode("patterns").alias("pattern"), "instance", "rank", "seed").groupBy("pattern", "instance", "rank").agg(F.max("seed").alias("seed")))
+    candidates = materialize(graph.drop("seed").join(graph.where("seed").select("instance").distinct(), "instance", "left_anti"))
+    totals = materialize(graph.groupBy("pattern").agg(F.count_distinct("instance").alias("all")))
     sure = None
-    for _ in range(ROUNDS):
-        edges = graph.withColumn("score", F.col("seed").cast("double"))
+    while True:
+        edges, left = graph, candidates
         if sure is not None:
-            edges = graph.join(sure.withColumn("found", F.lit(1.0)), ["instance", "rank"], "left").withColumn("score", F.greatest(F.col("seed").cast("double"), F.coalesce("found", F.lit(0.0))))
-        totals = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("all"))
-        of_kind = edges.groupBy("pattern", "rank").agg(F.sum("score").alias("good"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.min("seed").alias("only_seeds"))
+            edges = graph.join(sure.withColumn("found", F.lit(True)), ["instance", "rank"], "left").withColumn("seed", F.col("seed") | F.col("found").isNotNull())
+            left = candidates.join(sure.select("instance"), "instance", "left_anti")
+        of_kind = edges.groupBy("pattern", "rank").agg(F.sum(F.col("seed").cast("int")).alias("good"), F.min("seed").alias("only_good"))
         scored = (
-            of_kind.where((F.col("seeds") >= SUPPORT) & ~F.col("only_seeds"))
+            of_kind.where((F.col("good") >= SUPPORT) & ~F.col("only_good"))
             .join(totals, "pattern")
             .select("pattern", "rank", (F.col("good") / (F.col("all") + 1)).alias("confidence"))
             .where(F.col("confidence") >= ACCEPT / 2)
         )
-        sure = materialize(
-            graph.where(~F.col("seed"))
-            .join(scored, ["pattern", "rank"])
+        new = materialize(
+            left.join(scored, ["pattern", "rank"])
             .groupBy("instance", "rank")
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
             .where(F.col("score") >= ACCEPT)
-            .select("instance", "rank")
+            .groupBy("instance")
+            .agg(F.max_by("rank", F.struct(F.round("score", 9), -F.col("rank"))).alias("rank"))
         )
-    return sure
+        if not new.limit(1).count():
+            return new if sure is None else sure
+        sure = new if sure is None else materialize(sure.union(new))
 
 
 def find(docs: DataFrame) -> DataFrame:

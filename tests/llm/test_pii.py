@@ -61,3 +61,27 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted((r["doc_id"] or 0, r["spans"], r["n_phone"]) for r in found if r["n_added"])
     assert got == [(100, "phone:18:29", 0), (100, "phone:18:29", 0)]
+
+
+def test_bootstrapping_opens_patterns_until_nothing_is_added(spark):
+    """A chain of contexts: the seeds open the first, and what each holds opens the next."""
+    contexts = [f"{w} {w} {{}} {w}" for w in ("one", "two", "three", "four", "five", "six")]
+    rows = [(0, contexts[0].format(f"+1 (555) 555-01{k:02d}")) for k in range(40)]
+    want = []
+    for step in range(6):
+        for k in range(30):  # each number is in its own context and in the next
+            number = f"555-{step:02d}{k:02d}-77"
+            for at in range(step, min(step + 2, 6)):
+                rows.append((step + 1, contexts[at].format(number)))
+                want.append(number)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_added"] for r in found) == len(want)
+    assert {s.split(":")[0] for r in found for s in r["spans"].split(",")} == {"phone"}
+
+
+def test_number_of_phone_or_card_length_is_offered_as_both(spark):
+    assert [(k, b - a) for a, k, b in pii.likely_spans("ring 0044 20 7946 0018 now")] == [(2, 17), (3, 17)]
+    rows = [(i, f"please call me at +1 (555) 555-00{i:02d} today") for i in range(12)]
+    rows += [(100, "please call me at 0044 20 7946 0018 today")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_added"]}
+    assert found == {100: "phone:18:35"}
