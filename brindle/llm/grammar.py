@@ -37,7 +37,6 @@ from brindle.llm.tokens import WordEncoder
 
 SHARD = 1 << 20
 END = 1
-ROUNDS = 4
 PER_ROUND = 2048  # nonterminals that a round may add
 OFTEN = 16  # occurrences that make a pair worth a nonterminal
 NULL_ID = -(1 << 63)
@@ -51,9 +50,7 @@ SCHEMA = (
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, which of them end a document, and rules (n x 2); last marks the ids that end a document."""
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:  # until no pair is frequent
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = (((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.int32)
         slot[last[:-1]] = 1 << 20

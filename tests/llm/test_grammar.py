@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -59,3 +60,13 @@ def test_ties_nulls_and_no_rows(spark):
     found = sorted((tuple(r)[:3] for r in grammar.round_trip(rows, PATH).collect()), key=lambda r: r[1])
     assert found == [(None, 0, 2), (1, 2, 1), (1, 3, 2), (1, 5, 2), (2, 7, 2)]
     assert grammar.round_trip(rows.limit(0), PATH).count() == 0
+
+
+def test_no_frequent_pair_is_left():
+    ids = np.tile(np.arange(10, 210), 64)
+    last = np.zeros(len(ids), dtype=bool)
+    last[199::200] = True  # one passage of 200 ids, 64 times
+    codes, ends, rules = grammar.compress(ids, last, 1000)
+    pairs = Counter(p for i, p in enumerate(zip(codes[:-1].tolist(), codes[1:].tolist())) if not ends[i])
+    assert max(pairs.values(), default=0) < grammar.OFTEN
+    assert len(codes) == 64 and ends.all() and grammar.expand(codes, rules, 1000).tolist() == ids.tolist()
