@@ -98,3 +98,79 @@ def test_sizes():
                 else:
                     assert both < jaccard.needed(n, m)
     assert jaccard.boundary(np.array([0] + [100] * 63), 0.5) >= 1
+
+
+def edited_group(seed, n, words, edits):
+    """Copies of one text with so many words replaced, dropped or put in, a common line, and other texts."""
+    rng = random.Random(seed)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(words)]
+    few = ["in", "of", "or"]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            k = rng.randrange(len(w))
+            kind = rng.randrange(3)
+            if kind == 0:
+                w.pop(k)
+            elif kind == 1:
+                w[k] = rng.choice(few)
+            else:
+                w.insert(k, rng.choice(few))
+        out.append(" ".join(w))
+    line = " ".join(f"common{i}" for i in range(12))
+    out += [line + "\n" + " ".join(f"{rng.choice('xyz')}{rng.randrange(500)}" for _ in range(rng.randint(1, 60))) for _ in range(n // 2)]
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+@pytest.mark.parametrize("seed,words,edits", [(11, 60, 6), (12, 90, 9), (13, 25, 3)])
+def test_one_large_group(spark, monkeypatch, hot, seed, words, edits):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    made = []
+    differing = jaccard.differing
+    monkeypatch.setattr(jaccard, "differing", lambda *a: made.append(differing(*a)) or made[-1])
+    rows = [(i, t) for i, t in enumerate(edited_group(seed, 400, words, edits))]
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert made[0].count() < 400 * 20
+
+
+def test_differences_reach():
+    rng = random.Random(3)
+    universe = list(range(60))
+    for _ in range(3000):
+        head = set(rng.sample(universe, rng.randint(5, 40)))
+        near = [set(head) ^ set(rng.sample(universe, rng.randint(0, 14))) for _ in range(2)]
+        x, y = near
+        if not x or not y:
+            continue
+        alike = lambda a, b: len(a & b) >= jaccard.needed(len(a), len(b))
+        if not alike(x, y) or alike(x, head) and alike(y, head):
+            continue
+        order = {t: rng.random() for t in universe}
+        first = [sorted(z ^ head, key=order.get)[: jaccard.reach(len(z), len(head), len(z & head))] for z in near]
+        assert set(first[0]) & set(first[1])
+
+
+def test_levels_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLOTS", 256)
+    rows = [(i, t) for i, t in enumerate(near_copies(8, 200, range(15, 60), 3))]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_deduplicate_keeps_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, 1), (1, b, 2), (2, a, 3), (3, b, 4), (None, c, 5), (None, c, 6), (4, None, 7), (4, "", 8), (5, c + " z", 9), (6, "w", 10), (6, "w", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    for known in (jaccard.KNOWN, 0):
+        kept = sorted((r["extra"] for r in (df.transform(lambda d: dedup(d, known))).collect()))
+        assert kept[:2] == [1, 2] and kept[2:5] == [7, 8, 9] and len(kept) == 6 and kept[5] in (10, 11)
+
+
+def dedup(df, known):
+    before, jaccard.KNOWN = jaccard.KNOWN, known
+    try:
+        return jaccard.deduplicate(df)
+    finally:
+        jaccard.KNOWN = before
