@@ -47,42 +47,69 @@ SCHEMA = (
 )
 
 
+def slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """20-bit hashes of pairs."""
+    return ((first * np.uint32(0x9E3779B1)) ^ (second * np.uint32(0x85EBCA77))) >> np.uint32(12)
+
+
+def places(pairs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys are among sorted pairs, or any place for those that aren't; by hash, where that tells pairs apart."""
+    index = np.full(1 << 20, -1, np.int32)
+    index[slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs), dtype=np.int32)
+    place = index[slots((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))]
+    other = np.flatnonzero((place >= 0) & (pairs[place] != keys))
+    place[other] = np.minimum(np.searchsorted(pairs, keys[other]), len(pairs) - 1)
+    return place
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, which of them end a document, and rules (n x 2); last marks the ids that end a document."""
+    """Codes, which of them end a document, and rules (n x 2); last marks the ids that end a document.
+
+    Each round replaces the most frequent pairs, PER_ROUND of them, until none occurs OFTEN times.
+    A pair of old symbols can only become rarer, so after the first round only places of pairs that
+    were frequent and places beside new symbols are counted.
+    """
     seq, rules = ids.astype(np.uint32), []
-    while len(seq) > 1:  # until no pair is frequent
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = (((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.int32)
-        slot[last[:-1]] = 1 << 20
-        load = np.bincount(slot, minlength=(1 << 20) + 1)
-        load[1 << 20] = 0
-        at = np.flatnonzero(load[slot] >= OFTEN)  # others can't be frequent
-        pairs, counts = np.unique(keys[at], return_counts=True)
-        top = np.flatnonzero(counts >= OFTEN)
-        if not len(top):
-            break
-        top = np.sort(top[np.argsort(-counts[top], kind="stable")[:PER_ROUND]])
-        chosen = pairs[top]
-        place = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[place] == keys[at]
-        at, place = at[hit], place[hit]
+    if len(seq) < 2:
+        return seq, last, np.empty((0, 2), np.uint32)
+    slot = slots(seq[:-1], seq[1:])
+    may = (np.bincount(slot[~last[:-1]], minlength=1 << 20) >= OFTEN)[slot]  # others can't be frequent
+    at = np.flatnonzero(may & ~last[:-1])
+    while True:
+        keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        pairs, counts = np.unique(keys, return_counts=True)
+        often = counts >= OFTEN
+        pairs, counts = pairs[often], counts[often]
+        if not len(pairs):
+            return seq, last, np.array(rules, dtype=np.uint32).reshape(-1, 2)
+        place = places(pairs, keys)
+        frequent = pairs[place] == keys
+        at, place = at[frequent], place[frequent]
+        chosen = np.zeros(len(pairs), dtype=bool)
+        chosen[np.argsort(-counts, kind="stable")[:PER_ROUND]] = True
+        symbol = base + len(rules) + np.cumsum(chosen) - 1
+        rules.extend(zip((pairs[chosen] >> np.uint64(32)).tolist(), (pairs[chosen] & np.uint64(0xFFFFFFFF)).tolist()))
+        hit, symbol = at[chosen[place]], symbol[place[chosen[place]]]
         # Of hits that overlap, every other one counts, from the left.
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        nth = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        even = nth % 2 == 0
-        at, place = at[even], place[even]
-        first = base + len(rules)
-        rules.extend(zip((chosen >> np.uint64(32)).tolist(), (chosen & np.uint64(0xFFFFFFFF)).tolist()))
-        seq[at] = first + place
-        last[at] |= last[at + 1]
+        starts = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        even = (np.arange(len(hit)) - np.repeat(starts, np.diff(np.append(starts, len(hit))))) % 2 == 0
+        hit, symbol = hit[even], symbol[even]
+        seq[hit] = symbol
+        last[hit] |= last[hit + 1]
         left = np.ones(len(seq), dtype=bool)
-        left[at + 1] = False
+        left[hit + 1] = False
+        moved = np.cumsum(left) - 1
         seq, last = seq[left], last[left]
-    return seq, last, np.array(rules, dtype=np.uint32).reshape(-1, 2)
+        open_ = np.zeros(len(seq), dtype=bool)
+        open_[moved[at[left[at]]]] = True
+        open_[moved[hit]] = True
+        open_[np.maximum(moved[hit] - 1, 0)] = True
+        open_[-1] = False
+        at = np.flatnonzero(open_ & ~last)
 
 
 def expand(codes: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that codes stand for."""
+    """The ids that codes stand for, one level of rules after another."""
     seq = codes.astype(np.int64)
     while True:
         deep = seq >= base
@@ -97,6 +124,16 @@ def expand(codes: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def expand_all(codes: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """As expand(), for a whole shard: each rule is expanded once."""
+    sizes = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])[codes]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    whole = np.concatenate([np.arange(base, dtype="<u4"), expand(np.arange(base, base + len(rules)), rules, base)])
+    at = np.concatenate([np.arange(base), base + ends - lengths])[codes]
+    before = np.cumsum(sizes) - sizes
+    return whole[np.repeat(at - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 def shard(part: int, block: int, doc_ids: list, texts: list[np.ndarray], base: int) -> dict:
     counts = np.array([len(x) for x in texts], dtype=np.int64)
     ids = np.concatenate(texts)
@@ -130,15 +167,17 @@ def arrow_schema() -> pa.Schema:
 def write(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD, end: int = END) -> None:
     """Encode docs and write the shards to path."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(Worker(tokenizer))
+
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = shared.value.encoder()
         base = max(end + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True))
         part, block = TaskContext.get().partitionId(), 0
         doc_ids, texts, held = [], [], 0
         tail = np.array([end], "<u2")
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([encoder.encode(text.as_py()), tail])
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.rows(batch.column("text"))):
+                ids = np.concatenate([ids, tail])
                 doc_ids.append(doc_id)
                 texts.append(ids)
                 held += len(ids)
@@ -151,6 +190,19 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD, en
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    shared.unpersist()
+
+
+class Worker:
+    """Holds a Python worker's encoder, so that its table of known words serves all the worker's tasks."""
+
+    def __init__(self, tokenizer: str) -> None:
+        self.tokenizer, self.made = tokenizer, None
+
+    def encoder(self) -> WordEncoder:
+        if self.made is None:
+            self.made = WordEncoder(self.tokenizer)
+        return self.made
 
 
 class Shard:
@@ -187,7 +239,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row)
-                ids = expand(s.codes, s.rules, s.base)
+                ids = expand_all(s.codes, s.rules, s.lengths, s.base)
                 ends = np.cumsum(s.n_tokens)
                 starts = ends - s.n_tokens
                 if ends[-1] != len(ids):

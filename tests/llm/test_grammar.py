@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,7 +22,31 @@ def plain(tokenizer, text):
 @settings(max_examples=800, deadline=None)
 @given(st.text(alphabet="aBéÉ' .s1_tΣ́²ßx-×ĳ<|", max_size=24))
 def test_cached_words_are_the_tokenizer(text):
-    assert ENCODER.encode(text).tolist() == plain(TOKENIZER, text)
+    texts = [text, None, text + " " + text, text]
+    assert [x.tolist() for x in ENCODER.rows(pa.array(texts))] == [plain(TOKENIZER, t) for t in texts]
+
+
+def test_blocks_of_long_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    monkeypatch.setattr(tokens, "CACHED", 300)
+    texts = [t for x in ODD for t in (x, (x or "") * 40 if len(x or "") < 100 else x, f"{x} " * 3)]
+    assert [x.tolist() for x in tokens.WordEncoder(PATH).rows(pa.array(texts))] == [plain(TOKENIZER, t) for t in texts]
+
+
+def test_no_pair_stays_frequent():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.zipf(1.3, 60_000) % 500 + 2, np.tile(rng.integers(2, 500, 300), 40), np.full(500, 3)]).astype("<u2")
+    last = rng.random(len(ids)) < 0.01
+    last[-1] = True
+    codes, ends, rules = grammar.compress(ids, last.copy(), 600)
+    lengths = np.ones(600 + len(rules), np.uint32)
+    for i, (a, b) in enumerate(rules.tolist()):
+        lengths[600 + i] = lengths[a] + lengths[b]
+    assert (grammar.expand(codes, rules, 600) == ids).all()
+    assert (grammar.expand_all(codes, rules, lengths[600:], 600) == ids).all()
+    left = Counter((a, b) for a, b, e in zip(codes.tolist(), codes.tolist()[1:], ends.tolist()) if not e)
+    assert max(left.values()) < grammar.OFTEN and ends.sum() == last.sum()
+    assert len(rules) > grammar.PER_ROUND / 4
 
 
 ENCODER, TOKENIZER = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
