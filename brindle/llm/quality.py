@@ -7,8 +7,9 @@ the fit didn't see, weighted to the classes' true shares, and scored in Arrow ba
 
 Defined cases: a null or empty text has no words and fails the base rules. Repeated rows are
 judged one by one. Labels that disagree on a document count as the lower one; null labels and
-labels of unknown documents are ignored. Without labels of both classes the base rules decide
-alone. Columns other than doc_id and text are neither read nor returned by assess().
+labels of unknown documents are ignored; of several labelled texts of one doc_id one is learned from,
+always the same. Without labels of both classes the base rules decide alone. Long texts are worked
+through in blocks. Columns other than doc_id and text are neither read nor returned by assess().
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.words import SPACED, U64, Hasher, buffers, mix, rolling, rows_words
+from brindle.llm.words import BLOCK, SPACED, U64, Hasher, buffers, mix, rolling, rows_words
 
 SAMPLE = 2000  # labelled rows of each class at most
 DIM = 2048  # hashed features of words, and as many of characters
@@ -86,17 +87,48 @@ class Run:
         return slice(a, b), slice(a, max(a, b - 1)), slice(c, max(c, d - 2))
 
 
-def features(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, word_at: np.ndarray) -> Run:
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+def trigrams(points: np.ndarray) -> np.ndarray:
+    """Feature of the trigram that starts at each code point; the last two have none."""
     x = points.astype(U64)
     grams = x.copy()
     for k in (1, 2):
         grams[:-k] += x[k:] << U64(21 * k)
-    low = U64(DIM - 1)
+    return (mix(grams) & U64(DIM - 1)).astype(np.int32)
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+
+
+def pairs_of(hashes: np.ndarray) -> np.ndarray:
+    """Feature of each word and the next; the last has none."""
     pairs = hashes.copy()
     pairs[:-1] = mix(hashes[:-1] * U64(3) + hashes[1:])
-    return Run((hashes & low).astype(np.int32), word_at, (pairs & low).astype(np.int32), (mix(grams) & low).astype(np.int32), begins[at])
+    return (pairs & U64(DIM - 1)).astype(np.int32)
+
+
+def features(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, word_at: np.ndarray) -> Run:
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return Run((hashes & U64(DIM - 1)).astype(np.int32), word_at, pairs_of(hashes), trigrams(code_points(data)), begins[at])
+
+
+def long_features(data: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Kind (0 words and pairs, 1 characters) and features of a long text, a block at a time."""
+    for lo in range(0, len(hashes), BLOCK):
+        part = hashes[lo : lo + BLOCK + 1]
+        yield 0, (part[:BLOCK] & U64(DIM - 1)).astype(np.int32)
+        yield 0, pairs_of(part)[:-1]
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + BLOCK)
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        more, left = hi, 2  # the next two code points
+        while more < len(data) and left:
+            more += 1
+            left -= more == len(data) or data[more] & 0xC0 != 0x80
+        yield 1, trigrams(code_points(data[lo:more]))[:-2]
+        lo = hi
 
 
 def runs(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -108,22 +140,36 @@ def runs(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarra
 
 def vector(run: Run, i: int) -> np.ndarray:
     w, p, c = run.ranges(i)
-    words = np.bincount(run.words[w], minlength=DIM) + np.bincount(run.pairs[p], minlength=DIM)
-    chars = np.bincount(run.chars[c], minlength=DIM)
+    return relative(np.bincount(run.words[w], minlength=DIM) + np.bincount(run.pairs[p], minlength=DIM), np.bincount(run.chars[c], minlength=DIM))
+
+
+def relative(words: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return np.concatenate([words / max(1, words.sum()), chars / max(1, chars.sum())]).astype(np.float32)
 
 
+def is_long(row: int, end: int, data: np.ndarray) -> bool:
+    return end - row == 1 and len(data) > 2 * BLOCK
+
+
 def training_rows(batches):
     hasher = Hasher(SPACED)
+
+    def packed(x):
+        at = np.flatnonzero(x)
+        return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
     for batch in batches:
         out = []
         for row, end, data, at, hashes, word_at in runs(batch.column("text"), hasher):
+            if is_long(row, end, data):
+                counts = np.zeros((2, DIM), np.int64)
+                for kind, found in long_features(data, hashes):
+                    counts[kind] += np.bincount(found, minlength=DIM)
+                out.append(packed(relative(*counts)))
+                continue
             run = features(data, at, hashes, word_at)
-            for i in range(end - row):
-                x = vector(run, i)
-                at_x = np.flatnonzero(x)
-                out.append(at_x.astype(np.uint16).tobytes() + x[at_x].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(out, pa.binary())], ["quality", "x"])
+            out += [packed(vector(run, i)) for i in range(end - row)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -144,35 +190,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")  # 2 * sample rows at most
-        .select("text", "quality")
-        .mapInArrow(training_rows, "quality int, x binary")
-        .limit(4 * sample)  # repeated rows of a document don't grow it
-        .collect()
+        .select("doc_id", "quality", "text")
+        .mapInArrow(training_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary")
+        .groupBy("doc_id", "quality")
+        .agg(F.min("x").alias("x"))
+        .select("quality", "x")
+        .collect()  # 2 * sample rows of some hundred features
     )
     rows.sort(key=lambda r: (r["quality"], bytes(r["x"])))
+    order = np.random.default_rng(7).permutation(len(rows))
+    held = max(2, len(rows) // 5)
+    rows = [rows[i] for i in np.concatenate([order[held:], order[:held]])]
+    fit = len(rows) - held
     y = np.array([r["quality"] for r in rows], dtype=np.float32)
-    if not len(y) or y.min() == y.max():
+    if fit < 2 or y[:fit].min() == y[:fit].max():
         return None
-    x = np.zeros((len(rows), 2 * DIM), dtype=np.float32)
+    x = np.zeros((len(rows), 2 * DIM), dtype=np.float32)  # the one large array here: 2 * sample rows of 16 KB
     for i, r in enumerate(rows):
         raw = bytes(r["x"])
         n = len(raw) // 6
         x[i, np.frombuffer(raw[: 2 * n], np.uint16)] = np.frombuffer(raw[2 * n :], np.float32)
-    order = np.random.default_rng(7).permutation(len(y))
-    held = order[: max(2, len(y) // 5)]
-    fit = order[len(held) :]
-    if y[fit].min() == y[fit].max():
-        return None
-    scale = 1 / (x[fit].std(axis=0) + 1e-4)
-    w, b = logistic(x[fit] * scale, y[fit])
-    raw = (x[held] * scale) @ w + b
+    del rows
+    scale = 1 / (deviation(x[:fit]) + 1e-4)
+    x *= scale
+    w, b = logistic(x[:fit], y[:fit])
+    raw = x[fit:] @ w + b
     part = np.array([(y == q).sum() for q in (0, 1)])
-    weight = np.array([share[0] / part[0], share[1] / part[1]])[y[held].astype(int)]
-    slope, shift = platt(raw, y[held], weight)
+    weight = np.array([share[0] / part[0], share[1] / part[1]])[y[fit:].astype(int)]
+    slope, shift = platt(raw, y[fit:], weight)
     w = w * scale * slope
     return Model(w[:DIM].astype(np.float32), w[DIM:].astype(np.float32), float(b * slope + shift))
 
 
+def deviation(x: np.ndarray) -> np.ndarray:
+    """Standard deviation of each column, without a copy of x."""
+    mean = x.mean(axis=0, dtype=np.float64)
+    total = np.zeros(x.shape[1])
+    for lo in range(0, len(x), 256):
+        total += ((x[lo : lo + 256] - mean) ** 2).sum(axis=0)
+    return np.sqrt(total / len(x)).astype(np.float32)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.02, l2: float = 1e-3):
     """Full-batch Adam on the regularised logistic loss, classes weighted alike."""
     n, d = x.shape
@@ -219,12 +277,19 @@ def judged(column: pa.Array, hasher: Hasher, model: Model | None) -> dict[str, n
     for row, end, data, at, hashes, word_at in runs(column, hasher):
         rows = slice(row, end)
         out["n_words"][rows] = np.diff(word_at)
+        long = is_long(row, end, data)
         for name, flags in (("word_chars", hasher.word[data] & ((data & 0xC0) != 0x80)), ("n_symbols", symbol[data])):
-            out[name][rows] = np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
+            out[name][rows] = np.count_nonzero(flags) if long else np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
         for i in range(end - row):
             out["n_dup_lines"][row + i] = duplicate_lines(data[at[i] : at[i + 1]].tobytes())
             out["n_repeat_words"][row + i] = repeated_words(hashes[word_at[i] : word_at[i + 1]])
-        if model is not None:
+        if model is not None and long:
+            sums, counts = np.zeros(2), np.zeros(2)
+            for kind, found in long_features(data, hashes):
+                sums[kind] += (model.words, model.chars)[kind][found].sum(dtype=np.float64)
+                counts[kind] += len(found)
+            logit[row] += (sums / np.maximum(1, counts)).sum()
+        elif model is not None:
             run = features(data, at, hashes, word_at)
             words, pairs, chars = (np.concatenate([[0.0], np.cumsum(w[i], dtype=np.float64)]) for w, i in ((model.words, run.words), (model.words, run.pairs), (model.chars, run.chars)))
             a, b = word_at[:-1], word_at[1:]

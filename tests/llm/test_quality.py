@@ -1,11 +1,14 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from brindle.catalog import table
 from brindle.llm import quality
+from brindle.llm.words import SPACED, Hasher
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +58,33 @@ def test_without_labels_or_rows(spark):
     assert quality.assess(docs.limit(0), None).count() == 0
     kept = quality.keep(docs, None)
     assert kept.schema == docs.schema and 0 < kept.count() <= docs.count()
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    texts = ["wörd one two, " * 400, "日本 x" * 300, "a" * 700, "b c " * 200 + "é"]
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.DIM).astype(np.float32), rng.normal(size=quality.DIM).astype(np.float32), 0.1)
+    want = quality.judged(pa.array(texts), Hasher(SPACED), model)
+    rows = [r["x"].as_py() for r in quality_rows(texts)]
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    for i, t in enumerate(texts):
+        got = quality.judged(pa.array([t]), Hasher(SPACED), model)
+        for k, v in got.items():
+            assert np.allclose(v[0], want[k][i]), k
+    assert [r["x"].as_py() for r in quality_rows(texts)] == rows
+
+
+def quality_rows(texts):
+    for t in texts:
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([t])], ["doc_id", "quality", "text"])
+        for out in quality.training_rows([batch]):
+            yield {"x": out.column("x")[0]}
+
+
+def test_labels_that_disagree_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["good", "fine", "word"] if i % 2 else ["bad", "junk", "zzz"], 40)) for i in range(60)]
+    docs = spark.createDataFrame([(i // 2 * 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(60) for q in ((1, 0) if i % 4 == 0 else (1, None))], "doc_id long, quality int")
+    a, b = (quality.train(docs.repartition(n), labels) for n in (1, 7))
+    assert a is not None and np.array_equal(a.words, b.words) and a.bias == b.bias
