@@ -25,10 +25,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares for checkpoints (spark.checkpoint.dir).
 
-    Only where that is unset, as in tests, a folder of the session's own is set.
+    Only where that is unset and the master is local, as in tests, a folder of the session's own is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.brindle.checkpoint.dir", None)
         if not root:
             root = f"/tmp/checkpoints/brindle-{uuid.uuid4().hex}"

@@ -41,25 +41,32 @@ def glob(value: Column, pattern: str) -> Column:
     return truth(value.rlike(f"(?s)^{text}$"))
 
 
-def compare(value: Column, op: str, operand: Any) -> Column:
-    """One comparison of a filter: equality of text, ranges of numbers, contains and prefix; false on NULL."""
+def bare(value: Column, op: str, operand: Any) -> Column:
+    """One comparison of a filter: equality of text, ranges of numbers, contains and prefix; NULL on NULL.
+
+    As it stands a where clause can hand it to the scan, if the column has the type compared.
+    """
     if op in ("=", "=="):
-        return truth(value.cast("string") == F.lit(operand).cast("string"))
+        return value.cast("string") == F.lit(operand).cast("string")
     if op in ("!=", "<>"):
-        return truth(value.cast("string") != F.lit(operand).cast("string"))
+        return value.cast("string") != F.lit(operand).cast("string")
     if op == "contains":
-        return truth(F.contains(F.lower(value.cast("string")), F.lit(str(operand).lower())))
+        return F.contains(F.lower(value.cast("string")), F.lit(str(operand).lower()))
     if op == "prefix":
-        return truth(F.startswith(F.lower(value.cast("string")), F.lit(str(operand).lower())))
+        return F.startswith(F.lower(value.cast("string")), F.lit(str(operand).lower()))
     if op in NUMERIC:
-        number = value.try_cast("double")
-        return truth(getattr(number, NUMERIC[op])(F.lit(operand).try_cast("double")))
+        return getattr(value.try_cast("double"), NUMERIC[op])(F.lit(operand).try_cast("double"))
     raise ValueError(f"unknown operator {op}")
 
 
+def compare(value: Column, op: str, operand: Any) -> Column:
+    """The same, false on NULL, for use under NOT and in results."""
+    return truth(bare(value, op, operand))
+
+
 def all_of(filters: list[tuple[str, str, Any]]) -> Column:
-    """A list of (column, operator, operand), all of which must hold."""
-    return reduce(lambda a, b: a & b, (compare(F.col(c), op, x) for c, op, x in filters), F.lit(True))
+    """A list of (column, operator, operand), all of which must hold; for a where clause, which drops NULL as false."""
+    return reduce(lambda a, b: a & b, (bare(F.col(c), op, x) for c, op, x in filters), F.lit(True))
 
 
 @dataclass(frozen=True)

@@ -24,10 +24,10 @@ def audit_top_denied(spark, sf_dir):
     return V.top(events(spark, sf_dir).where("denied"), "actor", F.count("*"))
 
 
-@r.query("audit_filtered", "SELECT event_id FROM events WHERE event_type IN ('error', 'click') AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-06' ORDER BY ts LIMIT 200")
+@r.query("audit_filtered", "SELECT event_id FROM events WHERE event_type IN ('error', 'click') AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-06' ORDER BY ts, event_id LIMIT 200")
 def audit_filtered(spark, sf_dir):
     rows = events(spark, sf_dir).where("action IN ('error', 'click') AND ts BETWEEN TIMESTAMP_NTZ'2024-01-03' AND TIMESTAMP_NTZ'2024-01-06'")
-    return rows.orderBy("ts").limit(200).select("event_id")
+    return rows.orderBy("ts", "event_id").limit(200).select("event_id")
 
 
 FRAMEWORKS = "CASE WHEN user_id % 3 = 0 THEN ['gdpr', 'hipaa'] WHEN user_id % 3 = 1 THEN ['pci'] ELSE ['gdpr'] END"

@@ -139,7 +139,8 @@ def ontology_check(spark, sf_dir):
 )
 def resource_graph(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = X.entities(docs).where(F.col("type").isin("EMAIL", "IP_ADDRESS", "PHONE", "DATE", "HASH", "ORG"))
+    kinds = ("EMAIL", "IP_ADDRESS", "PHONE", "DATE", "HASH", "ORG")
+    found = X.entities(docs, [rule for rule in X.RULES if rule.type in kinds])
     mentions = found.join(docs.select("doc_id", F.col("lang").alias("family")), "doc_id").withColumnRenamed("doc_id", "resource")
     return G.resource_graph(mentions)
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType
 
 from brindle.functions.text import document_id, html_to_text
 from brindle.sources.extract import extract
@@ -20,13 +21,28 @@ MIME = {"txt": "text/plain", "md": "text/plain", "html": "text/html", "htm": "te
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a folder, with size, time and media type."""
+    """All files below a folder, with size, time and media type; those named with a leading _ or . are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    none = empty_files(spark, path)
+    if none:
+        found = found.union(spark.createDataFrame(none, "path string, millis long").selectExpr("path", "timestamp_millis(millis) AS modificationTime", "0L AS length", "CAST('' AS BINARY) AS content"))
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
     return found.select(F.col("path").alias("id"), F.col("path").alias("source"), F.coalesce(known[ending], F.lit("application/octet-stream")).alias("mime"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and times of empty files below a folder, which Spark's readers skip; a listing, as Spark makes one itself."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0 and status.getPath().getName()[:1] not in ("_", "."):
+            out.append((status.getPath().toString(), status.getModificationTime()))
+    return sorted(out)
+
+
 def rows_as_items(df: DataFrame, source: str) -> DataFrame:
     """One JSON item for each row of a table."""
     place = F.monotonically_increasing_id()
@@ -77,18 +93,23 @@ class UrlSource(DataSource):
         return UrlReader(self.options.get("urls", "").split(), type(self).fetch)
 
 
-def to_documents(items: DataFrame) -> DataFrame:
-    """doc_id, source and text of items; HTML by DataFrame functions, other kinds in Arrow batches."""
-    text = items.where("mime = 'text/plain'").select("id", "source", F.col("content").cast("string").alias("text"))
-    html = items.where("mime = 'text/html'").select("id", "source", html_to_text(F.col("content").cast("string")).alias("text"))
+@F.pandas_udf(StringType())
+def extracted(mime: pd.Series, content: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else extract(m, c) for m, c in zip(mime, content)], dtype=object)
 
-    def run(batches):
-        for batch in batches:
-            out = [extract(m, c) for m, c in zip(batch.column("mime").to_pylist(), batch.column("content").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(out, pa.string())], ["id", "source", "text"])
 
-    rest = items.where("mime NOT IN ('text/plain', 'text/html')").select("id", "source", "mime", "content").mapInArrow(run, "id string, source string, text string")
-    every = text.union(html).union(rest)
+def to_documents(items: DataFrame) -> DataFrame:
+    """doc_id, source and text of items, in one pass; HTML by DataFrame functions, other kinds in Arrow batches.
+
+    An item without a media type counts as one of unknown bytes, one without content as empty. Items
+    of the same source and text are one document.
+    """
+    mime = F.coalesce("mime", F.lit("application/octet-stream"))
+    content = F.coalesce("content", F.lit(b""))
+    plain, html = mime == "text/plain", mime == "text/html"
+    other = extracted(mime, F.when(~plain & ~html, content))
+    text = F.when(plain, content.cast("string")).when(html, html_to_text(content.cast("string"))).otherwise(other)
+    every = items.select("source", text.alias("text"))
     return every.select(document_id(F.col("source"), F.col("text")).alias("doc_id"), "source", "text").dropDuplicates(["doc_id"])
 
 

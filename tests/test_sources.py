@@ -1,9 +1,11 @@
 """Connectors and extractors on small files."""
 
 import io
+import sys
 import zipfile
 import zlib
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from brindle.sources import connectors as C
@@ -52,7 +54,14 @@ class Pages(C.UrlSource):
     fetch = staticmethod(lambda url: f"<p>{url}</p>".encode())
 
 
+def test_items_without_media_type_or_content(spark):
+    rows = [("a", "s1", None, b"some words"), ("b", "s2", "text/plain", b"x"), ("c", "s3", "text/plain", None), ("d", "s4", "application/pdf", None), ("e", "s2", "text/plain", b"x")]
+    found = C.to_documents(spark.createDataFrame(rows, "id string, source string, mime string, content binary"))
+    assert sorted((r["source"], r["text"]) for r in found.collect()) == [("s1", "some words"), ("s2", "x"), ("s3", ""), ("s4", "")]
+
+
 def test_web_source(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Pages)
     found = spark.read.format("web").option("urls", "http://a http://b").load()
     assert {r["text"] for r in C.to_documents(found).collect()} == {"http://a", "http://b"}
