@@ -63,6 +63,9 @@ URL_CHANGES = [
     ("example.org", "add", "block", "2024-08-01"),
     ("example.org", "remove", "block", "2024-08-15"),
     ("www.example.org", "add", "allow", "2024-08-05"),
+    ("example.net", "add", "block", "2024-01-15"),
+    ("example.net", "add", "allow", "2024-02-15"),
+    ("example.net", "remove", "allow", "2024-05-15"),
 ]
 
 

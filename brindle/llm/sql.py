@@ -153,7 +153,7 @@ op10_url_filter = rf"""
 WITH changes AS (
     SELECT col0 AS entry, col1 AS action, col2 AS list, CAST(col3 AS DATE) AS changed_on FROM (VALUES {values(URL_CHANGES)})
 ), spans AS (
-    SELECT * FROM (SELECT *, lead(changed_on) OVER (PARTITION BY entry ORDER BY changed_on) AS until FROM changes) WHERE action = 'add'
+    SELECT * FROM (SELECT *, lead(changed_on) OVER (PARTITION BY entry, list ORDER BY changed_on) AS until FROM changes) WHERE action = 'add'
 ), captures AS (
     SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 7) % 366 AS INTEGER) AS fetched_on,
            lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,

@@ -1,8 +1,8 @@
 """URL filters against dated lists: a temporal join.
 
 A list is a log of dated changes: an entry (a domain, or a host with the beginning of a path) is
-put on the block or allow list or removed. Changes of an entry become validity intervals, from the
-change to the next one. A capture is joined, by each domain above its host and each beginning of its
+put on the block or allow list or removed from it. Changes of an entry on one list become validity
+intervals, from the change to the next one on that list. A capture is joined, by each domain above its host and each beginning of its
 path, to the interval that holds at its fetch date; the most specific active entry decides, and
 block wins over allow.
 
@@ -10,7 +10,7 @@ The list is broadcast if it has at most BROADCAST intervals; beyond, captures ar
 the list's intervals are repeated for each salt, so a host with a third of all captures is spread.
 
 Defined cases: a null URL, or one without a host, matches nothing and isn't blocked; neither is a
-capture without a fetch date. Changes of one entry on one date: the last by action and list counts.
+capture without a fetch date. Of changes of one entry on one list and date a removal counts.
 Repeated captures are judged one by one. Entries are compared in lower case. Empty lists and tables
 work; other columns aren't read.
 """
@@ -28,10 +28,10 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
 def intervals(changes: DataFrame) -> DataFrame:
     """entry, verdict, since, until of changes(entry, action, list, changed_on); until is open for the last."""
-    dated = changes.where("entry IS NOT NULL AND changed_on IS NOT NULL").select(F.lower("entry").alias("entry"), "action", "list", "changed_on")
-    day = dated.groupBy("entry", "changed_on").agg(F.max(F.struct("action", "list")).alias("last"))
-    later = Window.partitionBy("entry").orderBy("changed_on")
-    spans = day.select("entry", F.col("last.action").alias("action"), F.col("last.list").alias("verdict"), F.col("changed_on").alias("since"), F.lead("changed_on").over(later).alias("until"))
+    dated = changes.where("entry IS NOT NULL AND list IS NOT NULL AND changed_on IS NOT NULL").select(F.lower("entry").alias("entry"), F.col("list").alias("verdict"), "action", "changed_on")
+    day = dated.groupBy("entry", "verdict", "changed_on").agg(F.max("action").alias("action"))
+    later = Window.partitionBy("entry", "verdict").orderBy("changed_on")
+    spans = day.select("entry", "verdict", "action", F.col("changed_on").alias("since"), F.lead("changed_on").over(later).alias("until"))
     return spans.where("action = 'add'").drop("action")
 
 

@@ -70,3 +70,12 @@ def test_url_lists(spark, monkeypatch):
         assert sorted(((r["page_id"], r["n_active"], r["decided_by"], r["blocked"]) for r in found), key=str) == sorted(want, key=str)
     assert urls.judge(captures(spark), changes.limit(0)).where("blocked").count() == 0
     assert urls.judge(captures(spark).limit(0), changes).count() == 0
+
+
+def test_lists_have_intervals_of_their_own(spark):
+    log = [("spam.example.org", "add", "block", "2024-01-10"), ("spam.example.org", "add", "allow", "2024-02-10"), ("spam.example.org", "remove", "allow", "2024-03-10"), ("spam.example.org", None, "block", "2024-03-11"), ("x.y", "add", None, "2024-01-01")]
+    changes = spark.createDataFrame(log, "entry string, action string, list string, changed_on string").withColumn("changed_on", F.col("changed_on").cast("date")).where("action IS NOT NULL")
+    days = ["2024-01-09", "2024-01-10", "2024-02-20", "2024-04-01"]
+    pages = spark.createDataFrame([(i, "https://spam.example.org/a", d) for i, d in enumerate(days)], "page_id long, url string, fetched_on string").withColumn("fetched_on", F.col("fetched_on").cast("date"))
+    found = {r["page_id"]: (r["n_active"], r["blocked"]) for r in urls.judge(pages, changes).collect()}
+    assert found == {0: (0, False), 1: (1, True), 2: (2, True), 3: (1, True)}
