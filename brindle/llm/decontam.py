@@ -8,8 +8,8 @@ of the next rarest terms, likewise moved, until all terms agree. A match is exac
 agree, and a proximity match where every term is at most SLOP words from its place.
 
 A window is WINDOW consecutive words of an item; an item with fewer words, but some, is one window.
-Test items are the query set. They are taken in parts of about PART_BYTES, so what a task holds
-doesn't grow with them.
+Test items are the query set. They are taken in parts of about PART_BYTES, one after another, so what
+the driver and a task hold doesn't grow with them.
 
 Defined cases: a null text has no words, is never hit and hits nothing; a null item_id counts as an
 item named by the empty string. Rows are told apart by an id of their own, so repeated documents are
@@ -19,11 +19,13 @@ time). Empty tables of either kind work. Other columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.catalog import materialize
@@ -32,7 +34,8 @@ from brindle.llm.words import ALNUM_LOWER, U64, Hasher, rows_words
 WINDOW = 10
 SLOP = 2
 GAP = 64  # positions between documents, so that no match reaches into the next
-PART_BYTES = 32_000_000
+PART_BYTES = 2_000_000  # of text: up to some 30 MB of windows
+KNOWN = 1_000_000  # contaminated rows up to which their keys are broadcast
 
 INDEX = "rows array<long>, doc_ids array<long>, counts binary, terms binary, sizes binary, deltas binary"
 FOUND = "row long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>, near array<string>"
@@ -157,10 +160,11 @@ def matches(block: Block, tests: Tests, orders: list[np.ndarray], slop: int = SL
     return found
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """The positional index of docs for the vocabulary: a row for each block."""
+def index(docs: DataFrame, shared, row: Column) -> DataFrame:
+    """The positional index of docs for the vocabulary of shared tests: a row for each block."""
 
     def run(batches):
+        vocabulary = shared.value.vocabulary
         hasher = Hasher(ALNUM_LOWER)
         for batch in batches:
             rows, ids = batch.column("row"), batch.column("doc_id")
@@ -173,7 +177,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 kinds = [pa.list_(pa.int64())] * 2 + [pa.binary()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["rows", "doc_ids", "counts", "terms", "sizes", "deltas"])
 
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    picked = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return picked.mapInArrow(run, INDEX)
 
 
@@ -202,21 +206,25 @@ def term_counts(indexed: DataFrame, n: int) -> np.ndarray:
     return counts
 
 
-def parts(benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES) -> list[Tests]:
-    """The test items in parts that fit a task."""
+def parts(benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES) -> Iterator[Tests]:
+    """The test items in parts that fit a task, each read when it is its turn."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // part_bytes
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [tests_of(sorted((r["item"], r["text"]) for r in items.where(part == i).collect()), width) for i in range(n)]
+    for i in range(n):
+        yield tests_of(sorted((r["item"], r["text"]) for r in items.where(part == i).collect()), width)
 
 
-def searched(docs: DataFrame, tests: Tests, slop: int = SLOP) -> DataFrame:
-    """FOUND for each row of docs, for one part of the test items."""
-    indexed = materialize(index(docs, tests.vocabulary))
-    orders = tests.ordered(term_counts(indexed, len(tests.vocabulary)))
+def searched(docs: DataFrame, tests: Tests, row: Column, slop: int = SLOP) -> DataFrame:
+    """FOUND for each row of docs, for one part of the test items; written, as the next part needs the memory."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(tests)  # a part's windows and vocabulary
+    indexed = materialize(index(docs, shared, row))
+    ranks = context.broadcast(tests.ordered(term_counts(indexed, len(tests.vocabulary))))
 
     def run(batches):
+        tests, orders = shared.value, ranks.value
         for batch in batches:
             for row in batch.to_pylist():
                 block = loaded(row)
@@ -233,16 +241,18 @@ def searched(docs: DataFrame, tests: Tests, slop: int = SLOP) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_words", "spans", "items", "near"])
 
-    return indexed.mapInArrow(run, FOUND)
+    found = materialize(indexed.mapInArrow(run, FOUND))
+    shared.destroy()
+    ranks.destroy()
+    return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Words, hit words and items found, of each row of docs."""
-    every = parts(benchmark, width)
-    found = searched(docs, every[0], slop)
+    row = F.monotonically_increasing_id()
+    every = [searched(docs, tests, row, slop) for tests in parts(benchmark, width)]
+    found = reduce(DataFrame.union, every)
     if len(every) > 1:
-        for tests in every[1:]:
-            found = found.union(searched(docs, tests, slop))
         found = found.groupBy("row", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")))
     ordered = F.array_sort("spans")
     start = F.struct(F.lit(0).cast("long").alias("stop"), F.lit(0).cast("long").alias("n"))
@@ -266,21 +276,15 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of docs without an exact match, with all columns. Texts aren't shuffled."""
-    for tests in parts(benchmark, width):
-        orders = tests.ordered(term_counts(materialize(index(docs, tests.vocabulary)), len(tests.vocabulary)))
-        docs = without(docs, tests, orders)
-    return docs
-
-
-def without(docs: DataFrame, tests: Tests, orders: list[np.ndarray]) -> DataFrame:
-    def run(batches):
-        hasher = Hasher(ALNUM_LOWER)
-        for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for row, _, hashes, word_at in rows_words(batch.column("text"), hasher):
-                found = matches(block_of(hashes, word_at, tests.vocabulary), tests, orders, 0)
-                keep[[row + d for d, (spans, _, _) in found.items() if spans]] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs without an exact match, with all columns.
+
+    Rows are named by a 64-bit hash of doc_id and text: rows of one name have one verdict. The names
+    of contaminated rows are broadcast up to KNOWN of them, so that texts aren't shuffled; beyond, they
+    are joined.
+    """
+    name = F.xxhash64(F.col("doc_id"), F.col("text"))
+    every = [searched(docs, tests, name, 0).where(F.size("spans") > 0).select("row") for tests in parts(benchmark, width)]
+    hit = materialize(reduce(DataFrame.union, every).distinct())
+    few = hit.limit(KNOWN + 1).count() <= KNOWN
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), name.alias("row"))
+    return named.join(F.broadcast(hit) if few else hit, "row", "left_anti").select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

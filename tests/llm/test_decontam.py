@@ -49,7 +49,7 @@ def test_blocks_find_what_brute_force_finds(docs, items, width, slop):
     assert found == want
 
 
-def test_tables(spark):
+def test_tables(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents").selectExpr("doc_id", "text", "1 AS items", "2 AS n_hit")
     items = table(spark, "/root/testdata/sf0.001", "benchmark").selectExpr("item_id", "text", "'x' AS doc_id")
     long = items.first()["text"]
@@ -62,6 +62,8 @@ def test_tables(spark):
     assert sum(r["contaminated"] for r in found) > 8
     assert decontam.clean(docs, items).count() == sum(not r[-1] for r in want)
     assert decontam.clean(docs, items).schema == docs.schema
+    monkeypatch.setattr(decontam, "KNOWN", 1)
+    assert decontam.clean(docs, items).count() == sum(not r[-1] for r in want)
     assert decontam.report(docs.limit(0), items).count() == 0
     assert not any(r["contaminated"] for r in decontam.report(docs, items.limit(0)).collect())
 
@@ -70,7 +72,9 @@ def test_items_in_parts(spark, monkeypatch):
     docs, items = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontam.report(docs, items).collect()))
     monkeypatch.setattr(decontam.parts, "__defaults__", (decontam.WINDOW, 3000))
-    assert len(decontam.parts(items)) > 2
+    assert len(list(decontam.parts(items))) > 2
+    kept = sorted(map(tuple, decontam.clean(docs, items).select("doc_id").collect()))
+    assert kept == sorted((r[0],) for r in whole if not r[5])
     assert sorted(map(tuple, decontam.report(docs, items).collect())) == whole
 
 
