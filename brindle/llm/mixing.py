@@ -1,19 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words. A document's expected number of copies is its source's
-target over its source's size (times its weight over the mean weight, where one is given). The
-whole part is taken for certain. For the rest, documents are ranked by Pareto's order statistic,
+target over its source's size, so odds of inclusion differ between sources. The whole part is taken for certain. For the rest, documents are ranked by Pareto's order statistic,
 the odds of a random number over the odds of inclusion, and taken from the smallest on until the
-source's words are nearest its target. Random numbers come from MD5 of doc_id and a seed, so
-reruns agree.
+source's words are nearest its target. Random numbers come from MD5 of doc_id (where it is null, of
+a hash of the text) and a seed, so reruns agree.
 
 The cut in each source's ranking is found from sums over 1024 ranges of the statistic, then over
 1024 parts of the range that holds it; only that part is sorted. No source is gathered in a task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one; a
 source without words has target 0 and keeps one copy of its (empty) rows only where targets allow,
-which is never. Rows with equal doc_id share a random number and are ordered by it alone, so they
-are taken together. An empty table gives an empty mix.
+which is never. Rows with equal doc_id share a random number and are ordered by a hash of their
+text; rows that are equal in both are taken together. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ PARTS = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of each row."""
+    """doc_id, source, size in words and a hash of the text of each row."""
 
     def run(batches):
         word = Hasher(SPACED).word
@@ -49,10 +48,10 @@ def sizes(docs: DataFrame) -> DataFrame:
                 first = word_starts(word[data[at[row] : at[end]]], begins)
                 out[row:end] = np.diff(np.concatenate([[0], np.cumsum(first)])[begins])
                 row = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(out)], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(out), batch.column("tie")], ["doc_id", "source", "size", "tie"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return picked.mapInArrow(run, "doc_id long, source string, size long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.xxhash64("text").alias("tie"))
+    return picked.mapInArrow(run, "doc_id long, source string, size long, tie long")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MAX_COPIES) -> DataFrame:
@@ -83,15 +82,15 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return capped.select("source", "source_size", target.alias("target"))
 
 
-def random_number(doc_id: Column, seed: str = SEED) -> Column:
+def random_number(doc_id: Column, tie: Column, seed: str = SEED) -> Column:
     """A number in (0, 1) of a document, the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), tie.cast("string")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def with_rank(df: DataFrame, seed: str) -> DataFrame:
     """Adds whole copies and the Pareto statistic (null where no part of a copy is left), scaled to (0, 1)."""
-    u = random_number(F.col("doc_id"), seed)
+    u = random_number(F.col("doc_id"), F.col("tie"), seed)
     odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
     return df.withColumn("part", F.col("copies") - F.floor("copies")).withColumn("rank", F.when(F.col("part") > 0, odds / (1 + odds)))
 
@@ -109,7 +108,7 @@ def allocate(sized: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     most = shares.get("most", MAX_COPIES)
     plan = per_source.withColumn("copies", F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     plan = plan.withColumn("wanted", F.col("target") - F.floor("copies") * F.col("source_size"))
-    ranked = with_rank(joined(sized, plan.select("source", "copies"), small), seed).where("rank IS NOT NULL").select("doc_id", "source", "size", "rank")
+    ranked = with_rank(joined(sized, plan.select("source", "copies"), small), seed).where("rank IS NOT NULL").select("doc_id", "source", "size", "tie", "rank")
     cut, scale = plan.select("source", F.col("wanted").alias("left")), 1.0
     rows = ranked
     for _ in range(2):
@@ -123,10 +122,10 @@ def allocate(sized: DataFrame, seed: str = SEED, **shares) -> DataFrame:
         at = materialize(at)
         rows = joined(rows, at.select("source", "cut_range"), small).where("range = cut_range").drop("cut_range")
         cut = at.select("source", "left")
-    ordered = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy("source").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = joined(rows.withColumn("before", F.coalesce(F.sum("size").over(ordered), F.lit(0))), cut, small)
     taken = rows.where(F.col("before") + F.col("size") / 2 <= F.col("left"))
-    ends = taken.groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("last"))
+    ends = taken.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "tie")).alias("last"))
     # Where no row of that part is taken, all of the ranges before it are.
     at = at.select("source", (F.col("cut_range") / scale).alias("from_rank"))
     return materialize(joined(joined(plan, at, small), ends, small))
@@ -136,7 +135,7 @@ def with_copies(df: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
     """Adds source_size, target and the whole number of copies taken of each row."""
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     ranked = with_rank(joined(df, plan, small), seed)
-    me = F.struct("rank", F.col("doc_id").cast("long").alias("doc_id"))
+    me = F.struct("rank", F.col("doc_id").cast("long").alias("doc_id"), "tie")
     extra = F.col("rank").isNotNull() & ((F.col("rank") < F.col("from_rank")) | (me <= F.col("last")))
     return ranked.withColumn("copies", F.floor("copies") + F.when(extra, 1).otherwise(0)).drop("part", "rank", "from_rank", "last", "wanted")
 
@@ -152,6 +151,6 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The rows of the mix, each as often as it is taken, with all columns of docs. Texts aren't shuffled."""
     plan = allocate(materialize(sizes(docs)), seed, **shares)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"))
+    keyed = row.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), F.xxhash64("row.text").alias("tie"))
     taken = with_copies(keyed, plan, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
