@@ -1,7 +1,8 @@
 """Personal data: base patterns as seeds, and bootstrapped contextual extraction.
 
 One pass over the texts finds the base matches of each kind and other strings that look like
-identifiers, each with its lexical patterns: the two words before it, and the words around it.
+identifiers, each with its lexical patterns: the two words before it, the word before it, the words
+around it, a label (a word that ends in a sign such as a colon) and the word its line begins with.
 Spark then scores the graph of patterns and instances: a pattern's confidence for a kind is the
 score of the kind's instances in it over all its instances (plus one), given SUPPORT of them; an
 instance is as sure as its patterns together (noisy or). Instances from ACCEPT on count as seeds in
@@ -41,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9@]")
 # Strings that look like an identifier of a kind.
 HANDLE = re.compile(r"@[A-Za-z0-9-]++")
-NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
+NUMBER = re.compile(r"(?<![A-Za-z0-9_])\(?[0-9](?:[\x20().-]{0,2}[0-9])++(?![A-Za-z0-9_])")  # not within a word
 EDGE = " \t\n\r.,;:!?()[]{}<>\"'#*$%&|"
 
 SCHEMA = (
@@ -112,10 +113,18 @@ def word(text: str) -> str:
 
 
 def patterns(text: str, start: int, stop: int) -> list[str]:
-    left = [word(x) for x in text[max(0, start - 80) : start].split()[-2:]]
+    before = text[max(0, start - 80) : start]
+    left = before.split()[-2:]
+    words = [word(x) for x in left]
     right = [word(x) for x in text[stop : stop + 40].split()[:1]]
-    near = left[-1] if left else "^"
-    return [f"before {left[0] if len(left) == 2 else '^'} {near}", f"around {near} {right[0] if right else '$'}"]
+    near = words[-1] if words else "^"
+    found = [f"before {words[0] if len(words) == 2 else '^'} {near}", f"around {near} {right[0] if right else '$'}", f"word {near}"]
+    if left and left[-1][-1] in ":=#" and near:
+        found.append(f"label {near}")
+    line = before.rpartition("\n")[2].split() if "\n" in before or start <= 80 else []
+    if line:
+        found.append(f"line {word(line[0])}")
+    return found
 
 
 def examined(text: str) -> tuple[list, list]:

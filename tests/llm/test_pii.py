@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -85,3 +86,15 @@ def test_number_of_phone_or_card_length_is_offered_as_both(spark):
     rows += [(100, "please call me at 0044 20 7946 0018 today")]
     found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_added"]}
     assert found == {100: "phone:18:35"}
+
+
+def test_one_label_and_line_starts_are_patterns(spark):
+    rng = random.Random(5)
+    rows = [(i, f"{rng.choice('abcdefgh')} {rng.choice('pqrstu')} phone: +1 (555) 555-01{i:02d} {rng.choice('abcdefgh')}") for i in range(40)]
+    rows += [(100, "q z phone: 555-0199-88 z"), (101, "q z counted 555-0199-77 pebbles")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_added"]}
+    assert found == {100: "phone:11:22"}
+
+
+def test_digits_within_words_are_no_candidates():
+    assert list(pii.likely_spans('token = "9b0b3c6a43eb78aa99572391524f37a8" x1234567 1234567y 1234567_')) == []
