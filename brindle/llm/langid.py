@@ -9,7 +9,8 @@ finer encoding.
 
 Learning covers rows whose text and language aren't null and whose crc32 of doc_id modulo FOLDS
 isn't HELD. The pieces are a uniform sample over all pieces of PIECE bytes of all such texts, by a
-hash of their content and place, about DICT bytes a language and TOTAL bytes over all languages.
+hash of their content and place, about DICT bytes a language and TOTAL bytes over all languages. Of
+more than TOTAL / 1000 languages those with most text are learned, so that each has 1000 bytes.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; so is every text if
 nothing could be learned. One learned language alone gets score 1. A null doc_id counts as an empty
