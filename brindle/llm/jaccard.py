@@ -289,11 +289,12 @@ PACK = 1000  # a light posting's size is that of its set plus PACK times that of
 
 def lists(docs: DataFrame, levels: Levels, light: int, parts: int) -> DataFrame:
     """LISTED rows: members (key: doc_id), postings of lists with several classes (key: token), and light links."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # SLOTS / 2 bytes at most
+    # SLOTS / 2 bytes at most; broadcasts hold plain values, as executors needn't have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((levels.table, levels.each, levels.buckets, levels.certain))
     buckets = levels.buckets
 
     def post(batches):
-        hasher, levels = Hasher(SPACED_LOWER), shared.value
+        hasher, levels = Hasher(SPACED_LOWER), Levels(*shared.value)
 
         def sent(kind, keys, classes, sizes, ranks):
             low, n, rank = np.concatenate(keys), np.concatenate(sizes), np.concatenate(ranks)
