@@ -164,7 +164,7 @@ def index(docs: DataFrame, shared, row: Column) -> DataFrame:
     """The positional index of docs for the vocabulary of shared tests: a row for each block."""
 
     def run(batches):
-        vocabulary = shared.value.vocabulary
+        vocabulary = shared.value[0]
         hasher = Hasher(ALNUM_LOWER)
         for batch in batches:
             rows, ids = batch.column("row"), batch.column("doc_id")
@@ -219,12 +219,12 @@ def parts(benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTE
 def searched(docs: DataFrame, tests: Tests, row: Column, slop: int = SLOP) -> DataFrame:
     """FOUND for each row of docs, for one part of the test items; written, as the next part needs the memory."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(tests)  # a part's windows and vocabulary
+    shared = context.broadcast((tests.vocabulary, tests.windows, tests.items))  # plain values, as executors needn't have this package
     indexed = materialize(index(docs, shared, row))
     ranks = context.broadcast(tests.ordered(term_counts(indexed, len(tests.vocabulary))))
 
     def run(batches):
-        tests, orders = shared.value, ranks.value
+        tests, orders = Tests(*shared.value), ranks.value
         for batch in batches:
             for row in batch.to_pylist():
                 block = loaded(row)
