@@ -167,10 +167,13 @@ def arrow_schema() -> pa.Schema:
 def write(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD, end: int = END) -> None:
     """Encode docs and write the shards to path."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(Worker(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches):
-        encoder = shared.value.encoder()
+        # A Python worker has one copy of the value for all its tasks: its table of known words serves them all.
+        encoder = shared.value.get("encoder")
+        if encoder is None:
+            encoder = shared.value["encoder"] = WordEncoder(tokenizer)
         base = max(end + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True))
         part, block = TaskContext.get().partitionId(), 0
         doc_ids, texts, held = [], [], 0
@@ -193,18 +196,6 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD, en
     shared.unpersist()
 
 
-class Worker:
-    """Holds a Python worker's encoder, so that its table of known words serves all the worker's tasks."""
-
-    def __init__(self, tokenizer: str) -> None:
-        self.tokenizer, self.made = tokenizer, None
-
-    def encoder(self) -> WordEncoder:
-        if self.made is None:
-            self.made = WordEncoder(self.tokenizer)
-        return self.made
-
-
 class Shard:
     """A row of the file, with random access to its documents."""
 

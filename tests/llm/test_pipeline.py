@@ -1,7 +1,11 @@
 """The pipeline's stages against brute force."""
 
+import os
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -40,3 +44,24 @@ def test_stages(spark):
         want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(map(tuple, pipeline.run(spark, SF).collect())) == want
+
+
+APART = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import public_tokenizers
+import __spark_entry__
+from brindle.llm import decontam, grammar, jaccard
+from brindle.session import local_session
+spark = local_session(2, "apart")
+docs = spark.createDataFrame([(i, "a b c d e f g h i j %d" % (i // 2)) for i in range(6)], "doc_id long, text string")
+print(len({r["component_id"] for r in jaccard.join(docs).collect()}), sum(r["contaminated"] for r in decontam.report(docs, docs.selectExpr("doc_id AS item_id", "text").limit(1)).collect()))
+print(jaccard.deduplicate(docs).count(), decontam.clean(docs, docs.selectExpr("doc_id AS item_id", "text").limit(1)).count(), grammar.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).count())
+"""
+
+
+def test_executors_need_no_copy_of_the_code(tmp_path):
+    """Workers that start elsewhere, without the repository in their path."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", APART, str(Path(__file__).resolve().parents[2])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["3", "6", "3", "0", "6"], done.stderr[-2000:]
