@@ -285,3 +285,61 @@ def part_digests(content: Column, part_bytes: int) -> Column:
 
 def lineage(events: DataFrame, path: str) -> DataFrame:
     return events.where(F.col("path") == path).orderBy("ts", "event_id")
+
+
+# What each framework asks of an operation, as (framework, condition, denies, violated rule, required action).
+OPERATION_RULES = [
+    ("fips", "operation = 'write' AND algorithm <> '' AND algorithm NOT IN ('AES-256-GCM', 'SHA-256', 'SHA-512', 'PBKDF2')", True, "FIPS 140-2: non-approved cryptographic algorithm", None),
+    ("fips", "TRUE", False, None, "FIPS 140-2: use approved key management"),
+    ("gdpr", "operation = 'delete' AND reason = ''", False, None, "record deletion reason for GDPR compliance"),
+    ("gdpr", "operation = 'write' AND NOT encrypted AND data_class >= 'confidential'", True, "GDPR Article 32: confidential data must be encrypted", None),
+    ("gdpr", "retention_days > 0 AND data_age > retention_days", False, "GDPR Article 5: data exceeds retention period", "delete or anonymize expired data"),
+    ("gdpr", "operation IN ('read', 'write')", False, None, "verify consent for personal data processing"),
+    ("hipaa", "operation = 'write' AND NOT encrypted", True, "HIPAA Security Rule: PHI must be encrypted", None),
+    ("hipaa", "operation = 'read'", False, None, "enforce minimum necessary access for PHI"),
+    ("hipaa", "TRUE", False, None, "log PHI access for HIPAA audit trail"),
+    ("hipaa", "actor <> '' AND actor NOT LIKE '%internal%'", False, None, "verify BAA exists for external access"),
+    ("nist", "actor = ''", True, "NIST AC-3: authenticated identity required", None),
+    ("nist", "operation IN ('read', 'write')", False, None, "NIST SC-8: ensure TLS 1.3 for transmission"),
+    ("nist", "TRUE", False, None, "NIST AU-2: log security-relevant events"),
+    ("nist", "data_class >= 'confidential' AND NOT encrypted", True, "NIST SC-13: FIPS-approved crypto required", None),
+    ("pci", "operation = 'write' AND NOT encrypted", True, "PCI DSS 3.4: cardholder data must be encrypted", None),
+    ("pci", "actor = '' OR NOT mfa", True, "PCI DSS 8.3: MFA required for cardholder data access", None),
+    ("pci", "TRUE", False, None, "PCI DSS 10.1: log all access to cardholder data"),
+    ("pci", "retention_days = 0", False, "PCI DSS 3.1: retention policy required", None),
+    ("soc2", "actor = ''", True, "SOC2 CC6.1: authenticated access required", None),
+    ("soc2", "operation = 'write' AND NOT encrypted", False, "SOC2 CC6.6: encryption at rest required", None),
+    ("soc2", "TRUE", False, None, "SOC2 CC7.2: log and monitor system activities"),
+    (None, "encrypt AND operation = 'write' AND NOT encrypted", True, "encryption required but data is not encrypted", "encrypt data before write"),
+]
+# The reasons of requests that no rule is applied to.
+BYPASSED, UNTAGGED = "system operation - compliance checks bypassed", "no compliance tags applied"
+REQUEST = {"operation": "", "actor": "", "algorithm": "", "reason": "", "encrypted": False, "mfa": False, "system": False, "data_age": 0}
+
+
+def validate_operations(requests: DataFrame, tags: DataFrame) -> DataFrame:
+    """(request, path, allowed, why, violated, actions) of requests on tagged paths, by the rules of the tags' frameworks.
+
+    requests has request, path and the columns of REQUEST, whose NULLs count as the values there;
+    tags(path, frameworks, encrypt, retention_days, data_class) has a row a path, as merge_tags()
+    gives. A system operation and a path without a tag are allowed. A violated rule need not deny.
+    Findings come by framework, then in the rules' order. Classes are compared as text, so that
+    every class but the empty one counts as confidential at least.
+    """
+    filled = requests.select("request", "path", *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in REQUEST.items()))
+    of = small(tags.select(F.col("path").alias("tagged"), "frameworks", "encrypt", "retention_days", "data_class"))
+    both = filled.join(of, F.col("path") == F.col("tagged"), "left")
+
+    def finding(framework, condition, denies, violated, action):
+        applies = truth(F.expr(condition)) & (F.lit(True) if framework is None else truth(F.array_contains("frameworks", framework)))
+        return F.when(applies, F.struct(F.lit(denies).alias("denies"), F.lit(violated).cast("string").alias("violated"), F.lit(action).cast("string").alias("action")))
+
+    found = F.filter(F.array(*(finding(*rule) for rule in OPERATION_RULES)), lambda x: x.isNotNull())
+    why = F.when(F.col("system"), BYPASSED).when(F.col("tagged").isNull(), UNTAGGED)
+    judged = both.select("request", "path", why.alias("why"), F.when(why.isNull(), found).alias("found"))
+
+    def texts(field: str) -> Column:
+        return F.coalesce(F.filter(F.transform("found", lambda x: x[field]), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+    allowed = ~F.coalesce(F.exists("found", lambda x: x["denies"]), F.lit(False))
+    return judged.select("request", "path", allowed.alias("allowed"), "why", texts("violated").alias("violated"), texts("action").alias("actions"))

@@ -47,6 +47,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "
     return known
 
 
+def seeded(seeds: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
+    """seeds(node) and the nodes of the first `limit` of ranked hits(chunk_id, hits, occurrences), each once."""
+    first = hits.orderBy(F.desc("hits"), F.desc("occurrences"), "chunk_id").limit(limit)
+    return seeds.select("node").union(first.select("chunk_id").where("chunk_id <> ''")).distinct()
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "out") -> DataFrame:
     """The edges along which reach() goes: those between nodes it finds, from a node nearer than depth."""
     found = reach(edges, seeds, depth, direction)
