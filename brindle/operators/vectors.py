@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.catalog import shared_folder
 from brindle.functions.text import cosine, tokens
 
 RRF_K = 60
@@ -24,9 +25,13 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int =
     """query_id, vec_id, score and rank of the k nearest vectors of each query(query_id, embedding).
 
     Queries are a stated set, taken in blocks; each task keeps its own k best for each query by a
-    matrix product over Arrow batches, so only k rows a query and task are shuffled.
+    matrix product over Arrow batches, so only k rows a query and task are shuffled. Each block's
+    result is written before the next block is read, so neither plan nor driver grow with the queries.
     """
-    out = None
+    path = shared_folder(vectors.sparkSession)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    schema = "query_id long, vec_id long, score double, rank int"
+    vectors.sparkSession.createDataFrame([], schema).write.parquet(path)
     rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     n = rows.count()
     blocks = 1 + n // block
@@ -57,11 +62,8 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[i])), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
         found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).write.mode("append").parquet(path)
+    return vectors.sparkSession.read.schema(schema).parquet(path)
 
 
 def embed(df: DataFrame, text: str, embedder: Callable[[Column], Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.catalog import table
 from brindle.operators import governance as V
+from brindle.operators.ranks import placed
 from brindle.plans.base import registry as r
 
 
@@ -276,11 +277,9 @@ def audit_chain_events(spark, sf_dir):
 @r.query("merkle_root")
 def merkle_root(spark, sf_dir):
     """Roots of a day's events; the tree isn't SQL, the tests compare it with a plain one."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("block"), "event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256).alias("hash"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("event_id")) - 1)
-    return V.merkle_roots(placed, "hash")
+    ordered = placed(rows, [F.col("event_id")], "place", ("block",))
+    return V.merkle_roots(ordered.withColumn("place", F.col("place") - 1), "hash")
 
 
 @r.query("report_export", "SELECT o_orderstatus AS status, '{\"status\":\"' || o_orderstatus || '\",\"n\":' || count(*) || '}' AS json FROM orders GROUP BY o_orderstatus")

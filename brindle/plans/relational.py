@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.catalog import views
+from pyspark.sql import functions as F
+
+from brindle.catalog import table, views
+from brindle.operators.ranks import placed
 from brindle.plans.base import registry as r
 
 r.sql(
@@ -175,15 +178,22 @@ r.sql(
 
 # Order, limits, set operations, CTEs.
 
-r.sql(
+@r.query(
     "order_nulls_limit_offset",
-    "events",
     """
     SELECT event_id, v, row_number() OVER (ORDER BY v ASC NULLS LAST, event_id) AS place_asc,
            row_number() OVER (ORDER BY v DESC NULLS FIRST, event_id) AS place_desc
     FROM (SELECT event_id, nullif(value, 6.55) AS v FROM events) ORDER BY v ASC NULLS LAST, event_id LIMIT 500 OFFSET 20
     """,
 )
+def order_nulls_limit_offset(spark, sf_dir):
+    """A page in ascending order, with the places that its rows have in both orders of the whole table."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("nullif(value, 6.55D)").alias("v"))
+    up = placed(rows, [F.col("v").asc_nulls_last(), F.col("event_id")], "place_asc")
+    both = placed(up, [F.col("v").desc_nulls_first(), F.col("event_id")], "place_desc")
+    return both.orderBy(F.col("v").asc_nulls_last(), "event_id").offset(20).limit(500)
+
+
 r.sql("order_limit_topk", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 r.sql("union_all", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 r.sql("union_distinct", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

@@ -70,7 +70,10 @@ def limited(stream: DataFrame, key: str, most: int) -> DataFrame:
 
     def take(group, batches, state: GroupState):
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable").head(max(0, most - seen))
+        left = max(0, most - seen)
+        rows = None
+        for batch in batches:  # no more than the first rows so far are kept
+            rows = (batch if rows is None else pd.concat([rows, batch])).sort_values(["ts", "event_id"], kind="stable").head(left)
         state.update((seen + len(rows),))
         yield rows
 

@@ -15,6 +15,7 @@ from brindle.operators import governance as V
 from brindle.operators import graph as G
 from brindle.operators import search as S
 from brindle.operators import vectors as N
+from brindle.operators.ranks import placed
 from brindle.operators.components import components
 
 DOCS = [(1, "alpha", "Vector retrieval with graphs"), (2, "beta", "graph store; retrieval augmented"), (3, "gamma", "billing invoice overdue"), (4, "delta", "invoice workflow for retrieval")]
@@ -203,3 +204,17 @@ def test_changes_with_nulls_and_no_rows(spark):
     assert [r["k"] for r in D.delete(df, F.col("v") == "a").collect()] == [2]
     log = spark.createDataFrame([(1, 5, 1, "x"), (1, 5, 2, "y"), (1, 4, 9, "z")], "k long, ts long, seq long, v string")
     assert D.latest(log, "k", "ts", "seq").first()["v"] == "y"
+
+
+def test_places_over_a_whole_table(spark):
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 100, None if i % 3 == 0 else i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v long, g long").repartition(7)
+    order = [F.col("v").desc_nulls_first(), F.col("id")]
+    key = lambda r: (r[1] is not None, -(r[1] or 0), r[0])
+    want = {r[0]: i for i, r in enumerate(sorted(rows, key=key), 1)}
+    assert {r["id"]: r["place"] for r in placed(df, order, "place").collect()} == want
+    within = {}
+    for g in {r[2] for r in rows}:
+        within |= {r[0]: i for i, r in enumerate(sorted((r for r in rows if r[2] == g), key=key), 1)}
+    assert {r["id"]: r["place"] for r in placed(df, order, "place", ("g",)).collect()} == within
+    assert placed(df.limit(0), order, "place").count() == 0
