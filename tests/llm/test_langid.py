@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from brindle.catalog import table
 from brindle.llm import langid
 
@@ -26,3 +28,64 @@ def test_odd_rows(spark):
     assert langid.identify(docs.limit(0), {}).count() == 0
     assert langid.learn(docs.limit(0)) == {}
     assert set(langid.learn(docs)) <= {"en", "fr"}
+
+
+def plain_prediction(text, content):
+    """Encodes the folded text with each dictionary in turn, blocks summed; ties by a finer encoding, then by name."""
+    letters = "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower())
+    data = " ".join(letters.split(" ")).encode()
+    data = b" ".join(data.split())
+    blocks = [data[i : i + langid.BLOCK] for i in range(0, len(data), langid.BLOCK)]
+
+    def size(lang, level, pad):
+        total = 0
+        for block in blocks:
+            known = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_dict_id=False).compress(block + pad))
+        return total
+
+    sizes = {lang: size(lang, langid.LEVEL, b"") for lang in content}
+    least = min(sizes.values())
+    tied = [lang for lang in content if sizes[lang] == least]
+    if len(tied) > 1:
+        finer = {lang: size(lang, langid.FINE_LEVEL, langid.PAD) for lang in tied}
+        return min(tied, key=lambda x: (finer[x], x)), sizes, True
+    return tied[0], sizes, False
+
+
+def test_equals_encoding_with_each_dictionary_one_by_one(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    content = langid.learn(docs)
+    assert len(content) > 1
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    found = {r["doc_id"]: r for r in langid.identify(docs, content).collect()}
+    checked = 0
+    for doc_id, text in texts.items():
+        if text is None or not any(c.isalpha() for c in text):
+            assert found[doc_id]["lang_pred"] == "und"
+            continue
+        lang, sizes, tied = plain_prediction(text, content)
+        assert found[doc_id]["lang_pred"] == lang
+        if not tied:
+            first, second = sorted(sizes.values())[:2]
+            assert abs(found[doc_id]["score"] - (second - first) / second) < 1e-12
+            assert found[doc_id]["rejected"] == (found[doc_id]["score"] < langid.MIN_MARGIN)
+        checked += 1
+    assert checked > 100
+
+
+def test_ties_go_to_the_first_language(spark):
+    same = b"the house and the garden and the long way home "
+    docs = spark.createDataFrame([(1, "the house and the garden"), (2, "zz qq")], "doc_id long, text string")
+    found = langid.identify(docs, {"xx": same, "aa": same}).collect()
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in found} == {("aa", 0.0, True)}
+
+
+def test_rare_languages_are_learned_beside_common_ones(spark):
+    rows = [(2, "the house and the garden by the river " * 20_000, "en"), (4, "la petite maison", "fr"), (5, "la petite maison", "fr"), (6, "das kleine haus", None)]
+    rows = [r for i in range(9) for r in [(r[0] + 10 * i, *r[1:]) for r in rows]]
+    content = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"la petite maison" in content["fr"] and set(content) == {"en", "fr"}
+    assert len(content["en"]) <= langid.DICT + langid.PIECE + 1
+    few = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), total=1000)
+    assert set(few) == {"en"}
